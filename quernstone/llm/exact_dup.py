@@ -113,7 +113,7 @@ def exact_owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     are ignored, whatever their names.
     """
     spark = docs.sparkSession
-    ship(spark)
+    ship()
     keyed = docs.select(col(id_col).cast("bigint").alias("id"), col(text_col).cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL").withColumns({"n": F.octet_length("text"), "h": F.xxhash64("text")})
     groups = cut(keyed.groupBy("n", "h").agg(F.count("*").alias("rows")).where("rows > 1").select("n", "h", F.ceil(F.col("rows") / rows_per_trie).cast("bigint").alias("salts")))
     again = keyed.join(small(groups, groups.count(), 64), ["n", "h"])

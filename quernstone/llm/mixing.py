@@ -74,3 +74,14 @@ r AS (SELECT d.*, b.size, b.budget // b.size AS full_epochs, b.budget % b.size A
 SELECT doc_id, source, text, n_tokens, epoch, (epoch * size + first)::BIGINT AS start,
   (CASE WHEN epoch < full_epochs THEN n_tokens ELSE least(n_tokens, rest - first) END)::BIGINT AS take
 FROM (SELECT *, unnest(range(full_epochs + CASE WHEN first < rest THEN 1 ELSE 0 END))::BIGINT AS epoch FROM r)"""
+
+
+def cut_texts(mixed: DataFrame, text_col: str = "text") -> DataFrame:
+    """Rows of mix_to_budgets of some tokens, with texts ended after ``take`` words, and n_chars (if it is there) made to fit."""
+    ended = F.array_join(F.slice(F.split(col(text_col), r"(?<=[^ \t\n\r\f\x0B])(?=[ \t\n\r\f\x0B])"), F.lit(1), F.col("take").cast("int")), "")
+    rows = mixed.where("n_tokens = 0 OR take > 0")
+    text = F.when(F.col("take") >= F.col("n_tokens"), col(text_col)).otherwise(ended)
+    rows = rows.withColumn(text_col, text)
+    if "n_chars" in rows.columns:
+        rows = rows.withColumn("n_chars", F.when(F.col("take") >= F.col("n_tokens"), F.col("n_chars")).otherwise(F.length(col(text_col)).cast("bigint")))
+    return rows
