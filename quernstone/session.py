@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
+import sys
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 
@@ -23,22 +22,12 @@ def session(app: str = "quernstone", master: str | None = None, **conf: str) ->
     for key, value in settings.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
-    ship(spark)
+    ship()
     return spark
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once for each Spark context."""
-    context = spark.sparkContext
-    if getattr(context, "_quernstone_shipped", False):
-        return
-    root = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(tempfile.mkdtemp(prefix="quernstone-"), "quernstone.zip")
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
-        for folder, _, names in os.walk(root):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    out.write(full, os.path.join("quernstone", os.path.relpath(full, root)))
-    context.addPyFile(path)
-    context._quernstone_shipped = True
+def ship(spark: SparkSession | None = None) -> None:
+    """Let functions of this package travel to Python workers whole, so that it needn't be installed there."""
+    package = sys.modules[__name__.rpartition(".")[0]]
+    if package.__name__ not in cloudpickle.list_registry_pickle_by_value():
+        cloudpickle.register_pickle_by_value(package)
