@@ -70,6 +70,6 @@ def words(name: str) -> Column:
     return F.coalesce(F.regexp_count(col(name).cast("string"), F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def with_columns(df: DataFrame, **columns: Column) -> DataFrame:
-    """df with these columns, which replace those of the same names."""
-    return df.withColumns(columns)
+def never_null(name: str) -> Column:
+    """A string for each value of a column, null's too, so that windows and joins on it share one partitioning."""
+    return F.coalesce(F.concat(F.lit("="), col(name).cast("string")), F.lit(""))

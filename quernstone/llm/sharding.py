@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bucket_of, col, hash_key, shuffle_partitions
+from .common import bucket_of, col, hash_key, never_null, shuffle_partitions
 
 
 def stratified_shards(docs: DataFrame, shards: int, seed: int = 1, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
@@ -27,12 +27,12 @@ def stratified_shards(docs: DataFrame, shards: int, seed: int = 1, id_col: str =
     those not named here; an empty table gives no rows.  Other columns are kept; those named position or shard are replaced.
     """
     ranges = max(16, shuffle_partitions(docs))
-    keyed = docs.withColumn("__q_key", hash_key(seed, id_col)).withColumn("__q_range", bucket_of(F.col("__q_key"), ranges))
-    counts = keyed.groupBy(col(source_col).alias("__q_of"), F.col("__q_range").alias("__q_at")).agg(F.count("*").alias("n"))
+    keyed = docs.withColumns({"__q_key": hash_key(seed, id_col), "__q_source": never_null(source_col)}).withColumn("__q_range", bucket_of(F.col("__q_key"), ranges))
+    counts = keyed.groupBy(F.col("__q_source").alias("__q_of"), F.col("__q_range").alias("__q_at")).agg(F.count("*").alias("n"))
     of = Window.partitionBy("__q_of")
     places = counts.select("__q_of", "__q_at", F.sum("n").over(of).alias("__q_size"), (F.sum("n").over(of.orderBy("__q_at").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("__q_before"))
-    within = Window.partitionBy(col(source_col), F.col("__q_range")).orderBy("__q_key", col(id_col))
-    ranked = keyed.withColumn("__q_row", F.row_number().over(within)).join(places.hint("shuffle_merge"), F.col("__q_range").eqNullSafe(F.col("__q_at")) & col(source_col).eqNullSafe(F.col("__q_of")))
+    within = Window.partitionBy("__q_source", "__q_range").orderBy("__q_key", col(id_col))
+    ranked = keyed.withColumn("__q_row", F.row_number().over(within)).join(places.hint("shuffle_merge"), (F.col("__q_source") == F.col("__q_of")) & (F.col("__q_range") == F.col("__q_at")))
     ranked = ranked.withColumn("__q_frac", (2 * (F.col("__q_before") + F.col("__q_row")) - 1).cast("double") / (2 * F.col("__q_size")))
     ranked = ranked.withColumn("__q_slot", F.floor(F.col("__q_frac") * ranges).cast("int")).drop("__q_of", "__q_at", "__q_before", "__q_row", "__q_range")
     # Of a source of n rows, those with a fractional rank before slot / ranges are known by n alone.
@@ -50,7 +50,7 @@ def stratified_shards(docs: DataFrame, shards: int, seed: int = 1, id_col: str =
     order = Window.partitionBy("__q_slot").orderBy("__q_frac", col(source_col), "__q_key", col(id_col))
     rows = ranked.withColumn("__q_row", F.row_number().over(order)).join(starts.hint("shuffle_merge"), F.col("__q_slot") == F.col("__q_slot_at"))
     rows = rows.withColumn("position", F.col("__q_start") + F.col("__q_row") - 1)
-    return rows.withColumn("shard", F.floor(F.col("position") * shards / F.col("__q_total")).cast("bigint")).drop("__q_key", "__q_size", "__q_frac", "__q_slot", "__q_row", "__q_slot_at", "__q_start", "__q_total")
+    return rows.withColumn("shard", F.floor(F.col("position") * shards / F.col("__q_total")).cast("bigint")).drop("__q_key", "__q_source", "__q_size", "__q_frac", "__q_slot", "__q_row", "__q_slot_at", "__q_start", "__q_total")
 
 
 def sql(shards: int, seed: int = 1) -> str:
