@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bucket_of, col, hash_key, shuffle_partitions, words
+from .common import bucket_of, col, hash_key, never_null, shuffle_partitions, words
 
 
 def tempered_budgets(tokens: DataFrame, alpha: float, epochs: float | None = None) -> DataFrame:
@@ -42,23 +42,23 @@ def mix_to_budgets(docs: DataFrame, alpha: float, epochs: float | None = None, s
     Other columns are kept; those named n_tokens, epoch, start or take are replaced.
     """
     buckets = max(16, shuffle_partitions(docs))
-    keyed = docs.withColumn("n_tokens", words(text_col)).withColumn("__q_key", hash_key(seed, id_col)).withColumn("__q_bucket", bucket_of(F.col("__q_key"), buckets))
-    sums = keyed.groupBy(col(source_col).alias("source"), F.col("__q_bucket").alias("bucket")).agg(F.sum("n_tokens").alias("n"))
+    keyed = docs.withColumn("n_tokens", words(text_col)).withColumns({"__q_key": hash_key(seed, id_col), "__q_from": never_null(source_col)}).withColumn("__q_bucket", bucket_of(F.col("__q_key"), buckets))
+    sums = keyed.groupBy(F.col("__q_from").alias("source"), F.col("__q_bucket").alias("bucket")).agg(F.sum("n_tokens").alias("n"))
     by_source = Window.partitionBy("source")
     placed = sums.select("source", "bucket", F.sum("n").over(by_source).alias("size"), (F.sum("n").over(by_source.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
     budgets = tempered_budgets(sums.groupBy("source").agg(F.sum("n").alias("n")), alpha, epochs)
     budgets = budgets.select(F.col("source").alias("__q_of"), F.col("budget").alias("__q_budget"))
-    places = placed.join(budgets, F.col("source").eqNullSafe(F.col("__q_of"))).select(F.col("source").alias("__q_source"), F.col("bucket").alias("__q_at"), F.col("size").alias("__q_size"), F.col("before").alias("__q_before"), "__q_budget")
+    places = placed.join(budgets, F.col("source") == F.col("__q_of")).select(F.col("source").alias("__q_source"), F.col("bucket").alias("__q_at"), F.col("size").alias("__q_size"), F.col("before").alias("__q_before"), "__q_budget")
     order = [F.col("__q_key"), col(id_col), col(text_col)]
-    within = Window.partitionBy(col(source_col), F.col("__q_bucket")).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("__q_from", "__q_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     run = keyed.withColumn("__q_run", F.sum("n_tokens").over(within) - F.col("n_tokens"))
-    joined = run.join(places.hint("shuffle_merge"), F.col("__q_bucket").eqNullSafe(F.col("__q_at")) & col(source_col).eqNullSafe(F.col("__q_source")))
+    joined = run.join(places.hint("shuffle_merge"), (F.col("__q_from") == F.col("__q_source")) & (F.col("__q_bucket") == F.col("__q_at")))
     before = F.col("__q_before") + F.col("__q_run")
     full, rest = F.floor(F.col("__q_budget") / F.col("__q_size")), F.col("__q_budget") % F.col("__q_size")
     copies = joined.withColumns({"__q_first": before, "__q_full": full.cast("bigint"), "__q_rest": rest}).withColumn("__q_copies", F.col("__q_full") + F.when(F.col("__q_first") < F.col("__q_rest"), 1).otherwise(0)).where("__q_copies > 0")
     rows = copies.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__q_copies") - 1)))
     rows = rows.withColumns({"start": F.col("epoch") * F.col("__q_size") + F.col("__q_first"), "take": F.when(F.col("epoch") < F.col("__q_full"), F.col("n_tokens")).otherwise(F.least("n_tokens", F.col("__q_rest") - F.col("__q_first")))})
-    return rows.drop("__q_key", "__q_bucket", "__q_run", "__q_source", "__q_at", "__q_size", "__q_before", "__q_budget", "__q_first", "__q_full", "__q_rest", "__q_copies")
+    return rows.drop("__q_key", "__q_from", "__q_bucket", "__q_run", "__q_source", "__q_at", "__q_size", "__q_before", "__q_budget", "__q_first", "__q_full", "__q_rest", "__q_copies")
 
 
 def sql(alpha: float, seed: int = 1) -> str:
