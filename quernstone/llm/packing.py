@@ -76,14 +76,15 @@ def _packer(tokens: int, segments: int, loss: int, pool: int):
 
         def finish() -> pa.RecordBatch:
             nonlocal used, waiting
-            rows = np.array(waiting, dtype=np.int64).reshape(-1, 5)
+            ids = pa.array([w[0] for w in waiting], pa.int64())
+            rows = np.array([w[1:] for w in waiting], dtype=np.int64).reshape(-1, 4)
             waiting = []
-            sizes = np.stack([rows[:, 3], np.ones(len(rows), np.int64), rows[:, 4]], axis=1)
+            sizes = np.stack([rows[:, 2], np.ones(len(rows), np.int64), rows[:, 3]], axis=1)
             bins, slots = dot_product_bins(sizes, limits)
             group = (now or 0) << 32
-            out = [rows[:, 0], rows[:, 1].astype(np.int32), rows[:, 2], rows[:, 3], rows[:, 4], group + used + bins, slots.astype(np.int32)]
+            out = [rows[:, 0].astype(np.int32), rows[:, 1], rows[:, 2], rows[:, 3], group + used + bins, slots.astype(np.int32)]
             used += int(bins.max(initial=-1)) + 1
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["id", "piece", "first_token", "n_tokens", "n_loss", "bin", "slot"])
+            return pa.RecordBatch.from_arrays([ids, *map(pa.array, out)], names=["id", "piece", "first_token", "n_tokens", "n_loss", "bin", "slot"])
 
         for batch in batches:
             group, ids, lengths, bears = (batch.column(k).to_pylist() for k in range(4))
