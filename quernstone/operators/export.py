@@ -42,16 +42,15 @@ def shape(node_id: Column, type: Column) -> Column:
 
 def metadata_label(metadata: Column) -> Column:
     """Keys with their scalars, or with the lengths of their arrays, after a (literal) backslash and n; empty if there are none."""
-    parsed = F.try_parse_json(metadata)
-    keys = F.coalesce(F.json_object_keys(metadata), F.array().cast("array<string>"))
+    entries = F.map_entries(F.from_json(metadata, "map<string,string>"))
 
-    def part(key: Column) -> Column:
-        raw = F.get(F.transform(F.array(key), lambda k: F.get_json_object(metadata, F.concat(F.lit("$['"), k, F.lit("']")))), F.lit(0))
-        length = F.json_array_length(raw)
-        return F.when(raw.isNull() | raw.startswith("{"), F.lit(None)).when(raw.startswith("[") & length.isNotNull(), F.concat(key, F.lit("=["), length.cast("string"), F.lit("]"))).otherwise(F.concat(key, F.lit("="), raw))
+    def part(entry: Column) -> Column:
+        key, value = entry["key"], entry["value"]
+        length = F.when(value.startswith("["), F.json_array_length(value))
+        return F.when(length.isNotNull(), F.concat(key, F.lit("=["), length.cast("string"), F.lit("]"))).when(value.isNotNull() & ~value.startswith("{"), F.concat(key, F.lit("="), value))
 
-    parts = F.array_compact(F.transform(keys, part))
-    return F.when(parsed.isNotNull() & (F.size(parts) > 0), F.concat(F.lit("\\n"), F.array_join(parts, ", "))).otherwise("")
+    parts = F.array_compact(F.transform(entries, part))
+    return F.when(F.size(parts) > 0, F.concat(F.lit("\\n"), F.array_join(parts, ", "))).otherwise("")
 
 
 def dot_lines(graph: Graph, include_metadata: bool = False) -> DataFrame:

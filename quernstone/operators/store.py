@@ -85,7 +85,7 @@ def kv_like(kv: DataFrame, pattern: str) -> DataFrame:
 def kv_get(kv: DataFrame, key: str) -> DataFrame:
     """(key, value, found) of one key, in one row; a stored null counts as not found."""
     one = kv.where(F.col("key") == key).agg(F.first("value").alias("value"))
-    there = F.col("value").isNotNull() & (F.col("value") != "null")
+    there = F.coalesce(F.col("value") != "null", F.lit(False))
     return one.select(F.lit(key).alias("key"), F.when(there, F.col("value")).alias("value"), there.alias("found"))
 
 
