@@ -44,9 +44,10 @@ def distances(edges: DataFrame, starts: DataFrame, direction: str = "outgoing",
     """(root, id, depth): the least number of steps from every root of starts (root) to every id within max_depth.
 
     All roots advance together, one join and one reliable checkpoint a level; only new
-    pairs go on, and they are broadcast only while their counted size fits.
+    pairs go on, and they are broadcast only while their counted size fits.  Steps are cached
+    while levels are found, as edges may be an aggregate; what of them is lost is computed again.
     """
-    step = steps(edges, direction).select("a", "b")
+    step = steps(edges, direction).select("a", "b").persist()
     front = cut(starts.select("root").distinct().select("root", F.col("root").alias("id"), F.lit(0).alias("depth")))
     levels, rows, depth = [front], front.count(), 0
     while rows and (max_depth is None or depth < max_depth):
@@ -59,6 +60,7 @@ def distances(edges: DataFrame, starts: DataFrame, direction: str = "outgoing",
             levels.append(front)
             if len(levels) > 8:  # a long chain would anti-join as many tables as it has levels
                 levels = [cut(_union(levels))]
+    step.unpersist()
     return _union(levels)
 
 
@@ -142,7 +144,7 @@ def shortest_path(graph: Graph, start: str, end: str, direction: str = "both", r
     The front carries its path; ids seen before are left out of it.
     """
     spark = graph.edges.sparkSession
-    step = steps(related(graph.edges, relationship), direction).select("a", "b").distinct()
+    step = steps(related(graph.edges, relationship), direction).select("a", "b").distinct().persist()
     front = spark.createDataFrame([(start, [start])], "id string, path array<string>")
     seen = front.select("id")
     path = [start] if start == end else None
@@ -155,6 +157,7 @@ def shortest_path(graph: Graph, start: str, end: str, direction: str = "both", r
         seen = cut(seen.union(front.select("id")))
         hit = front.where(F.col("id") == end).select("path").first()
         path = hit and hit[0]
+    step.unpersist()
     return spark.createDataFrame(list(enumerate(path or [])), "step int, id string")
 
 

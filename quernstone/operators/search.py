@@ -107,8 +107,10 @@ def search(indexed: DataFrame, query: str, nodes: DataFrame | None = None, types
     if by_word is None:
         return spark.createDataFrame([], empty)
     best = lambda df: df.orderBy(F.desc("raw"), "key").limit(CANDIDATES)
-    found = best(by_word)
-    if found.limit(MIN_WORD_HITS).count() < MIN_WORD_HITS:
+    # At most 100 candidates, so the documents are read once for them whatever follows.
+    rows = best(by_word).collect()
+    found = spark.createDataFrame(rows, by_word.schema)
+    if len(rows) < MIN_WORD_HITS:
         more = trigram_hits(indexed, query)
         if more is not None:
             found = found.unionByName(best(more).join(found.select("key"), "key", "left_anti").withColumn("raw", F.col("raw") * TRIGRAM_FACTOR))
