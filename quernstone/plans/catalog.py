@@ -225,13 +225,12 @@ def g3_depth_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.traverse_depth_first(small_graph(spark, sf_dir), "part:1", max_depth=10).select("id")
 
 
-@query(f"""{WITH_SMALL},
-step AS (SELECT src AS a, dst AS b FROM small_edges UNION SELECT dst, src FROM small_edges),
+@query(f"""{WITH},
+step AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),
 walk AS (SELECT 'customer:1' AS id, 0 AS depth UNION SELECT s.b, w.depth + 1 FROM walk w JOIN step s ON s.a = w.id WHERE w.depth < 7)
 SELECT min(depth)::BIGINT AS length FROM walk WHERE id = 'region:2'""")
 def g4_shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = small_graph(spark, sf_dir)
-    path = G.shortest_path(Graph(g.nodes, edges(spark, sf_dir, "in_region", "in_nation", "supplied_by")), "customer:1", "region:2")
+    path = G.shortest_path(graph(spark, sf_dir), "customer:1", "region:2")
     return path.agg(F.max("step").cast("bigint").alias("length"))
 
 
