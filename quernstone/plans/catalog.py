@@ -160,16 +160,16 @@ def m2_edge_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges(spark, sf_dir, "contains").select("src", "dst", "seq", F.get_json_object("metadata", "$.line").cast("int").alias("line"))
 
 
-@query(f"{WITH_SMALL} SELECT relationship, count(*) AS n FROM small_edges WHERE src NOT IN (SELECT id FROM small_nodes WHERE type = 'nation' AND seq % 2 = 0) AND dst NOT IN (SELECT id FROM small_nodes WHERE type = 'nation' AND seq % 2 = 0) GROUP BY 1")
+@query(f"{WITH} SELECT relationship, count(*) AS n FROM edges WHERE src NOT IN (SELECT id FROM nodes WHERE type = 'nation' AND seq % 2 = 0) AND dst NOT IN (SELECT id FROM nodes WHERE type = 'nation' AND seq % 2 = 0) GROUP BY 1")
 def m3_node_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = small_graph(spark, sf_dir)
+    g = graph(spark, sf_dir)
     _, kept = store.delete_nodes(g.nodes, g.edges, g.nodes.where((F.col("type") == "nation") & (F.col("seq") % 2 == 0)).select("id"))
     return kept.groupBy("relationship").agg(F.count("*").alias("n"))
 
 
-@query(f"{WITH_SMALL} SELECT relationship, count(*) AS n FROM small_edges WHERE NOT (relationship = 'in_region' AND dst = 'region:1') GROUP BY 1")
+@query(f"{WITH} SELECT relationship, count(*) AS n FROM edges WHERE NOT (relationship = 'in_region' AND dst = 'region:1') GROUP BY 1")
 def m4_edge_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = small_graph(spark, sf_dir).edges
+    e = graph(spark, sf_dir).edges
     keys = e.where("relationship = 'in_region' AND dst = 'region:1'").select("src", "dst", "relationship")
     return store.delete_edges(e, keys).groupBy("relationship").agg(F.count("*").alias("n"))
 

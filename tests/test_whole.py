@@ -1,5 +1,7 @@
 """Catalog queries over whole tables, held against plain Python that shares nothing with their SQL."""
 
+from collections import Counter
+
 import pyarrow.parquet as pq
 
 from quernstone.plans import catalog
@@ -8,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def columns(name, *wanted):
-    read = pq.read_table(f"{SF}/{name}.parquet", columns=list(wanted))
+    read = pq.read_table(f"{SF}/{name}.parquet", columns=list(dict.fromkeys(wanted)))
     return list(zip(*(read.column(c).to_pylist() for c in wanted)))
 
 
@@ -45,3 +47,12 @@ def test_shortest_path_over_all_relationships(spark):
         length += 1
     assert length == 5
     assert [r.length for r in catalog.queries()["g4_shortest_path"](spark, SF).collect()] == [length]
+
+
+def test_deletes_over_all_relationships(spark):
+    keys = plain_edges()
+    gone = {f"nation:{n}" for (n,) in columns("nation", "n_nationkey") if n % 2 == 0}
+    counted = lambda kept: dict(Counter(r for _, _, r in kept))
+    got = lambda name: {r.relationship: r.n for r in catalog.queries()[name](spark, SF).collect()}
+    assert got("m3_node_delete") == counted(k for k in keys if not {k[0], k[1]} & gone)
+    assert got("m4_edge_delete") == counted(k for k in keys if k[1:] != ("region:1", "in_region"))
