@@ -70,10 +70,15 @@ def to_dot(graph: Graph, include_metadata: bool = False) -> str:
 
 
 def json_rows(graph: Graph, include_metadata: bool = True) -> DataFrame:
-    """(part, seq, json): nodes (part nodes) and edges (part edges) as JSON objects."""
-    more = ["metadata"] if include_metadata else []
-    nodes = graph.nodes.select(F.lit("nodes").alias("part"), "seq", F.to_json(F.struct("id", "type", "name", *more)).alias("json"))
-    edges = graph.edges.select(F.lit("edges").alias("part"), "seq", F.to_json(F.struct(F.col("src").alias("from"), F.col("dst").alias("to"), "relationship", *more)).alias("json"))
-    return nodes.unionByName(edges)
+    """(part, seq, json): nodes (part nodes) and edges (part edges) as JSON objects; metadata is the object that its text holds, and left out if there is none."""
 
+    def row(*fields: Column | str) -> Column:
+        made = F.to_json(F.struct(*fields))
+        if not include_metadata:
+            return made
+        there = F.coalesce(F.col("metadata"), F.lit("")) != ""
+        return F.when(there, F.concat(F.substring(made, F.lit(1), F.length(made) - 1), F.lit(',"metadata":'), F.col("metadata"), F.lit("}"))).otherwise(made)
 
+    nodes = graph.nodes.select(F.lit("nodes").alias("part"), "seq", row("id", "type", "name").alias("json"))
+    edges = graph.edges.select(F.lit("edges").alias("part"), "seq", row(F.col("src").alias("from"), F.col("dst").alias("to"), "relationship").alias("json"))
+    return nodes.unionByName(edges)

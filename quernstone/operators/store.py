@@ -55,8 +55,8 @@ def current_edges(log: DataFrame, deleted_nodes: DataFrame | None = None) -> Dat
 
 
 def upsert_edges(rows: DataFrame) -> DataFrame:
-    """One edge of each ends and relationship of rows, with the last metadata and the first seq: an aggregate, so it combines before the shuffle."""
-    made = rows.groupBy("src", "dst", "relationship").agg(F.max_by("metadata", "seq").alias("metadata"), F.min("seq").alias("seq"))
+    """One edge of each ends and relationship of rows, with the last metadata (of equal seq the greater text) and the first seq: an aggregate, so it combines before the shuffle."""
+    made = rows.groupBy("src", "dst", "relationship").agg(F.max_by("metadata", F.struct("seq", "metadata")).alias("metadata"), F.min("seq").alias("seq"))
     return made.select("seq", "src", "dst", "relationship", "metadata")
 
 

@@ -15,7 +15,7 @@ from ..functions import text as T
 from ..operators import context, diff, export, graph as G, refs, search, stats, store
 from ..operators.find import find, participating
 
-from ..operators.model import Graph, json_number, predicate, where_all
+from ..operators.model import json_number, predicate, where_all
 from ..streaming import changes
 from .projection import SPAN, WITH, WITH_SMALL, edges, graph, kv_log, nodes, search_documents, small_graph, table
 
@@ -83,9 +83,9 @@ def p2_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes(spark, sf_dir, "part").where(predicate(F.col("metadata"), "size", 7) & ~predicate(F.col("metadata"), "size", "7")).select("id")
 
 
-@query("SELECT 'supplier:' || s_suppkey AS id, s_acctbal AS acctbal FROM supplier WHERE s_acctbal <= 1000 AND s_acctbal >= -500")
+@query("SELECT 'supplier:' || s_suppkey AS id, s_acctbal AS acctbal FROM supplier WHERE s_acctbal <= 1000 AND s_acctbal >= -500 UNION ALL SELECT 'customer:' || c_custkey, c_acctbal FROM customer WHERE c_acctbal <= 1000 AND c_acctbal >= -500")
 def p3_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = nodes(spark, sf_dir, "supplier").where(predicate(F.col("metadata"), "acctbal", {"lte": 1000, "gte": -500}))
+    found = nodes(spark, sf_dir).where(predicate(F.col("metadata"), "acctbal", {"lte": 1000, "gte": -500}))
     return found.select("id", json_number(F.col("metadata"), "acctbal").alias("acctbal"))
 
 
@@ -353,10 +353,10 @@ def d1_compare_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.compare_nodes(c.where(key % 10 != 0), new)
 
 
-@query(f"""{WITH} SELECT src || ' -[' || relationship || ']-> ' || dst AS edge, 'removed' AS change FROM edges WHERE relationship = 'in_nation' AND seq % 5 = 0 AND seq % 3 <> 0
-UNION ALL SELECT src || ' -[' || relationship || ']-> ' || dst, 'added' FROM edges WHERE relationship = 'in_nation' AND seq % 3 = 0 AND seq % 5 <> 0""")
+@query(f"""{WITH} SELECT src || ' -[' || relationship || ']-> ' || dst AS edge, 'removed' AS change FROM edges WHERE seq % 5 = 0 AND seq % 3 <> 0
+UNION ALL SELECT src || ' -[' || relationship || ']-> ' || dst, 'added' FROM edges WHERE seq % 3 = 0 AND seq % 5 <> 0""")
 def d1_compare_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = edges(spark, sf_dir, "in_nation")
+    e = edges(spark, sf_dir)
     return diff.compare_edges(e.where("seq % 3 <> 0"), e.where("seq % 5 <> 0"))
 
 
@@ -374,11 +374,17 @@ def x2_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.dot_lines(export.gather(small_graph(spark, sf_dir), relationship="in_region")).select("line")
 
 
-@query(f"""{WITH} SELECT '{{"id":"' || id || '","type":"' || type || '","name":"' || name || '"}}' AS json FROM nodes WHERE type = 'region'
-UNION ALL SELECT '{{"from":"' || src || '","to":"' || dst || '","relationship":"in_region"}}' FROM edges WHERE relationship = 'in_region'""")
+@query(f"""{WITH},
+meta AS (SELECT 'supplier:' || s_suppkey AS id, '{{"acctbal":' || s_acctbal || '}}' AS metadata FROM supplier
+UNION ALL SELECT 'customer:' || c_custkey, '{{"acctbal":' || c_acctbal || ',"segment":"' || c_mktsegment || '"}}' FROM customer
+UNION ALL SELECT 'part:' || p_partkey, '{{"brand":"' || p_brand || '","ptype":"' || p_type || '","size":' || p_size || ',"price":' || p_retailprice || '}}' FROM part
+UNION ALL SELECT 'order:' || o_orderkey, '{{"status":"' || o_orderstatus || '","priority":"' || o_orderpriority || '","total":' || o_totalprice || '}}' FROM orders),
+line AS (SELECT l_orderkey, l_partkey, l_linenumber, '{{"line":' || l_linenumber || ',"quantity":' || l_quantity::INTEGER || '}}' AS text FROM lineitem),
+last AS (SELECT 'order:' || l_orderkey AS src, 'part:' || l_partkey AS dst, max(struct_pack(a := l_linenumber, b := text)).b AS metadata FROM line GROUP BY l_orderkey, l_partkey)
+SELECT '{{"id":"' || id || '","type":"' || type || '","name":"' || name || '","metadata":' || coalesce(metadata, '{{}}') || '}}' AS json FROM nodes LEFT JOIN meta USING (id)
+UNION ALL SELECT '{{"from":"' || src || '","to":"' || dst || '","relationship":"' || relationship || '"' || coalesce(',"metadata":' || metadata, '') || '}}' FROM edges LEFT JOIN last USING (src, dst)""")
 def x3_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = Graph(nodes(spark, sf_dir, "region"), edges(spark, sf_dir, "in_region"))
-    return export.json_rows(g, include_metadata=False).select("json")
+    return export.json_rows(graph(spark, sf_dir)).select("json")
 
 
 @query(f"{WITH_SMALL} SELECT e.src AS node_id, n.type, e.relationship FROM small_edges e JOIN small_nodes n ON n.id = e.src WHERE e.dst = 'nation:5' UNION ALL SELECT e.dst, n.type, e.relationship FROM small_edges e JOIN small_nodes n ON n.id = e.dst WHERE e.src = 'nation:5'")

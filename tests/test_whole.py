@@ -1,5 +1,6 @@
 """Catalog queries over whole tables, held against plain Python that shares nothing with their SQL."""
 
+import json
 from collections import Counter
 
 import pyarrow.parquet as pq
@@ -56,3 +57,39 @@ def test_deletes_over_all_relationships(spark):
     got = lambda name: {r.relationship: r.n for r in catalog.queries()[name](spark, SF).collect()}
     assert got("m3_node_delete") == counted(k for k in keys if not {k[0], k[1]} & gone)
     assert got("m4_edge_delete") == counted(k for k in keys if k[1:] != ("region:1", "in_region"))
+
+
+def test_ranges_over_all_kinds(spark):
+    found = {f"supplier:{k}": x for k, x in columns("supplier", "s_suppkey", "s_acctbal")} | {f"customer:{k}": x for k, x in columns("customer", "c_custkey", "c_acctbal")}
+    got = catalog.queries()["p3_ranges"](spark, SF).collect()
+    assert sorted(map(tuple, got)) == sorted((k, x) for k, x in found.items() if -500 <= x <= 1000)
+    assert any(r.id.startswith("customer:") for r in got)
+
+
+def test_difference_of_all_edges(spark):
+    text = lambda k: f"{k[0]} -[{k[2]}]-> {k[1]}"
+    wanted = [(text(k), "removed" if seq % 5 == 0 else "added") for k, seq in plain_edges().items() if (seq % 5 == 0) != (seq % 3 == 0)]
+    assert sorted(map(tuple, catalog.queries()["d1_compare_edges"](spark, SF).collect())) == sorted(wanted)
+
+
+def test_json_of_the_whole_graph(spark):
+    kinds = {
+        "region": ("region", "r_regionkey", "r_name", {}),
+        "nation": ("nation", "n_nationkey", "n_name", {}),
+        "supplier": ("supplier", "s_suppkey", "s_name", {"acctbal": "s_acctbal"}),
+        "customer": ("customer", "c_custkey", "c_name", {"acctbal": "c_acctbal", "segment": "c_mktsegment"}),
+        "part": ("part", "p_partkey", "p_name", {"brand": "p_brand", "ptype": "p_type", "size": "p_size", "price": "p_retailprice"}),
+        "order": ("orders", "o_orderkey", "o_orderkey", {"status": "o_orderstatus", "priority": "o_orderpriority", "total": "o_totalprice"}),
+    }
+    wanted = []
+    for kind, (name, key, title, more) in kinds.items():
+        for k, t, *values in columns(name, key, title, *more.values()):
+            wanted.append({"id": f"{kind}:{k}", "type": kind, "name": str(t), "metadata": dict(zip(more, values))})
+    last = {}
+    for o, p, i, q in sorted(columns("lineitem", "l_orderkey", "l_partkey", "l_linenumber", "l_quantity"), key=lambda x: (x[2], str(int(x[3])) + "}")):  # lines that repeat go by their text
+        last[f"order:{o}", f"part:{p}"] = {"line": i, "quantity": int(q)}
+    for a, b, r in plain_edges():
+        wanted.append({"from": a, "to": b, "relationship": r} | ({"metadata": last[a, b]} if r == "contains" else {}))
+    got = [json.loads(r.json) for r in catalog.queries()["x3_json"](spark, SF).collect()]
+    text = lambda rows: sorted(json.dumps(r, sort_keys=True) for r in rows)
+    assert text(got) == text(wanted)
