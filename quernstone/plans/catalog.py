@@ -174,11 +174,11 @@ def m4_edge_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.delete_edges(e, keys).groupBy("relationship").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'doc:' || doc_id AS path, n_chars AS size, CASE WHEN n_chars > 5000 THEN 'too_large' WHEN doc_id % 3 = 0 THEN 'unchanged' ELSE 'parse' END AS state FROM documents")
+@query("SELECT 'doc:' || doc_id AS path, strlen(text) AS size, CASE WHEN strlen(text) > 500000 THEN 'too_large' WHEN doc_id % 3 = 0 THEN 'unchanged' ELSE 'parse' END AS state FROM documents")
 def s3_hash_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("path"), F.col("n_chars").alias("size"), F.col("text").alias("content"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("path"), F.octet_length("text").cast("bigint").alias("size"), F.col("text").alias("content"))
     known = docs.select("path", F.when(F.col("doc_id") % 3 == 0, F.xxhash64("content")).otherwise(F.lit(0)).alias("hash"))
-    return store.to_scan(docs, known, max_bytes=5000).select("path", "size", "state")
+    return store.to_scan(docs, known).select("path", "size", "state")
 
 
 @query("""WITH old AS (SELECT c_nationkey AS path, c_custkey AS key FROM customer WHERE c_custkey % 10 <> 0), new AS (SELECT c_nationkey AS path, c_custkey AS key FROM customer WHERE c_custkey % 7 <> 0 AND c_nationkey < 20)

@@ -93,3 +93,12 @@ def test_json_of_the_whole_graph(spark):
     got = [json.loads(r.json) for r in catalog.queries()["x3_json"](spark, SF).collect()]
     text = lambda rows: sorted(json.dumps(r, sort_keys=True) for r in rows)
     assert text(got) == text(wanted)
+
+
+def test_size_guard_in_bytes(spark, tmp_path):
+    texts = ["a" * 400_000, "a" * 500_000, "a" * 500_001, "ä" * 250_001, "ä" * 250_000]
+    rows = [(3 * i + k, t, len(t)) for i, t in enumerate(texts) for k in (0, 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.path: (r.size, r.state) for r in catalog.queries()["s3_hash_skip"](spark, str(tmp_path)).collect()}
+    sizes = [len(t.encode()) for t in texts]
+    assert got == {f"doc:{3 * i + k}": (n, "too_large" if n > 500_000 else ("unchanged", "parse")[k]) for i, n in enumerate(sizes) for k in (0, 1)}
