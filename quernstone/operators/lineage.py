@@ -12,10 +12,13 @@ BROADCAST_BYTES = 32 << 20
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df read back from a reliable checkpoint in the folder of spark.checkpoint.dir (one of this machine only where that is unset)."""
+    """df read back from a reliable checkpoint in the folder of spark.checkpoint.dir (one of this machine only where that is unset and the master is local)."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quernstone-"))
+        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if at is None and not context.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(at or tempfile.mkdtemp(prefix="quernstone-"))
     return df.checkpoint(eager=True)
 
 

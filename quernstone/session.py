@@ -18,6 +18,7 @@ def session(app: str = "quernstone", master: str | None = None, **conf: str) ->
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.showConsoleProgress": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | {k.replace("_", "."): v for k, v in conf.items()}
     for key, value in settings.items():
         builder = builder.config(key, value)
