@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 
 def col(name: str) -> Column:
@@ -20,17 +22,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint in the cluster's shared folder.
 
-    The folder is that of ``spark.checkpoint.dir``.  Only where it is unset, as in
-    local tests, is a folder of this machine set.
+    The folder is that of ``spark.checkpoint.dir``.  Where it is unset a local master gets a
+    folder of this machine, as in tests; any other is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         at = spark.conf.get("spark.checkpoint.dir", None)
+        if at is None and not context.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(at or tempfile.mkdtemp(prefix="quernstone-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
+def inner(df: DataFrame) -> Callable[[str], str]:
+    """A maker of column names for inner use, none of which df has, in any case of letters."""
+    tag = "__q_"
+    while any(c.lower().startswith(tag) for c in df.columns):
+        tag = "_" + tag
+    return lambda name: tag + name
+
+
+def kind_of(df: DataFrame, name: str) -> str:
+    """The type of a column as in a schema string."""
+    return next(f for f in df.schema.fields if f.name.lower() == name.lower()).dataType.simpleString()
+
+
+def orderable(df: DataFrame, name: str) -> Column:
+    """A column as bigint if it is of an integral type, else as a string."""
+    kind = next(f for f in df.schema.fields if f.name.lower() == name.lower()).dataType
+    return col(name).cast("bigint" if isinstance(kind, IntegralType) else "string")
+
+
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
