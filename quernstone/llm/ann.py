@@ -10,10 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import col, cut
-
-FOUND = "vec_id bigint, neighbour_id bigint, similarity double"
-
+from .common import col, cut, kind_of, shuffle_partitions, small
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(int8 codes, scale, error) of each row: x is about codes * scale, and error is the length of what is left."""
@@ -24,40 +21,56 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Heaps:
-    """The k greatest (similarity, then least id) of each row, as bounded heaps held in arrays."""
+    """The k greatest (similarity, then least number) of each row, as bounded heaps held in arrays."""
 
     def __init__(self, rows: int, k: int):
         self.k = k
-        self.similarity, self.ids = np.full((rows, k), -np.inf), np.full((rows, k), np.iinfo(np.int64).max)
+        self.similarity, self.numbers = np.full((rows, k), -np.inf), np.full((rows, k), np.iinfo(np.int64).max)
 
     def least(self) -> np.ndarray:
         return self.similarity[:, -1]
 
-    def push(self, row: np.ndarray, ids: np.ndarray, similarity: np.ndarray) -> None:
-        """Merge candidates (row, id, similarity) into their rows' heaps."""
+    def push(self, row: np.ndarray, numbers: np.ndarray, similarity: np.ndarray) -> None:
+        """Merge candidates (row, number, similarity) into their rows' heaps."""
         if not len(row):
             return
         touched = np.unique(row)
         rows = np.concatenate([np.repeat(touched, self.k), row])
-        every = np.concatenate([self.ids[touched].reshape(-1), ids])
+        every = np.concatenate([self.numbers[touched].reshape(-1), numbers])
         values = np.concatenate([self.similarity[touched].reshape(-1), similarity])
         order = np.lexsort((every, -values, rows))
         rows, every, values = rows[order], every[order], values[order]
         begins = np.searchsorted(rows, touched)
         take = begins[:, None] + np.arange(self.k)
-        self.similarity[touched], self.ids[touched] = values[take], every[take]
+        self.similarity[touched], self.numbers[touched] = values[take], every[take]
+
+
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The exact products of the rows of two int8 matrices, as float32 or float64.
+
+    127 * 127 * 1040 is below 2**24, so sums over 1040 columns are exact in float32, which is the
+    fast way; wider ones are summed in float64.
+    """
+    kind = np.float32 if a.shape[1] <= 1040 else np.float64
+    return a.astype(kind) @ b.astype(kind).T
+
+
+#: Queries of a block are met by a tile so many at a time.
+ROWS = 2048
 
 
 def _nearest(k: int, tile: int):
-    """Rows (block, strip, side, id, codes, scale, error, vector), the queries of a block first, to its k nearest of the strip."""
+    """Rows (dim, block, strip, side, id, vector), the queries of a block first and both sides by id, to its k nearest of the strip."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, queries, waiting, size = None, [], [], 0
+        now, kind = None, pa.int64()
+        asked, ids, waiting, size = [], [], [], 0
         state: dict = {}
 
         def begin() -> None:
-            ids, codes, scale, error, x = (np.concatenate(c) for c in zip(*queries))
-            state.update(ids=ids, codes=codes.astype(np.float32), scale=scale, error=error, x=x, heaps=Heaps(len(ids), k))
+            x = np.concatenate([v for _, v in asked])
+            codes, scale, error = quantise(x)
+            state.update(ids=pa.concat_arrays([i for i, _ in asked]), codes=codes, scale=scale, error=error, x=x, heaps=Heaps(len(x), k), seen=0)
 
         def product() -> None:
             """One tile: int8 products, the pairs that their error bounds let live in float, and those into the heaps."""
@@ -66,34 +79,40 @@ def _nearest(k: int, tile: int):
                 return
             if not state:
                 begin()
-            ids, codes, scale, error, x = (np.concatenate(c) for c in zip(*waiting))
+            x = np.concatenate(waiting)
+            number = state["seen"] + np.arange(len(x))
+            state["seen"] += len(x)
             waiting, size = [], 0
+            codes, scale, error = quantise(x)
             heaps = state["heaps"]
-            # Products of int8 codes sum up to less than 2**24, so in float32 they are exact.
-            about = (state["codes"] @ codes.astype(np.float32).T) * scale.astype(np.float32)
-            about *= state["scale"].astype(np.float32)[:, None]
-            # Of unit vectors: |x.y - x'.y'| <= |x - x'| + |x'| |y - y'|; and float32 rounds.
-            most = error.max()
-            bound = state["error"] + (1.0 + state["error"]) * most + 1e-5
-            floor = heaps.least()
-            if np.isinf(floor).any() and len(ids) > k:
-                first = about - bound[:, None].astype(np.float32)
-                floor = np.maximum(floor, np.partition(first, len(ids) - k - 1, axis=1)[:, len(ids) - k - 1])
-            row, column = np.nonzero(about >= (floor - bound)[:, None].astype(np.float32) - np.float32(1e-6))
-            other = state["ids"][row] != ids[column]
-            row, column = row[other], column[other]
-            for a in range(0, len(row), 1 << 18):
-                r, c = row[a : a + (1 << 18)], column[a : a + (1 << 18)]
-                heaps.push(r, ids[c], np.einsum("ij,ij->i", state["x"][r], x[c]))
+            for low in range(0, len(state["x"]), ROWS):
+                mine = slice(low, low + ROWS)
+                about = products(state["codes"][mine], codes)
+                about *= scale.astype(about.dtype)
+                about *= state["scale"][mine].astype(about.dtype)[:, None]
+                # Of unit vectors: |x.y - x'.y'| <= |x - x'| + |x'| |y - y'|; and float32 rounds.
+                own = state["error"][mine]
+                bound = (own + (1.0 + own) * error.max() + 1e-5).astype(about.dtype)
+                floor = heaps.least()[mine].astype(about.dtype) - np.asarray(1e-6, about.dtype)
+                if np.isinf(floor).any() and len(x) > k:
+                    first = about - bound[:, None]
+                    floor = np.maximum(floor, np.partition(first, len(x) - k - 1, axis=1)[:, len(x) - k - 1])
+                row, column = np.nonzero(about >= (floor - bound)[:, None])
+                for a in range(0, len(row), 1 << 18):
+                    r, c = row[a : a + (1 << 18)] + low, column[a : a + (1 << 18)]
+                    heaps.push(r, number[c], np.einsum("ij,ij->i", state["x"][r], x[c]))
 
         def finish() -> Iterator[pa.RecordBatch]:
             product()
             if state:
-                heaps = state["heaps"]
-                row, at = np.nonzero(np.isfinite(heaps.similarity))
-                yield pa.RecordBatch.from_arrays([pa.array(state["ids"][row]), pa.array(heaps.ids[row, at]), pa.array(heaps.similarity[row, at])], names=["vec_id", "neighbour_id", "similarity"])
+                heaps, every = state["heaps"], pa.concat_arrays(ids)
+                for low in range(0, len(heaps.similarity), ROWS):
+                    row, at = np.nonzero(np.isfinite(heaps.similarity[low : low + ROWS]))
+                    row += low
+                    yield pa.RecordBatch.from_arrays([state["ids"].take(pa.array(row)), every.take(pa.array(heaps.numbers[row, at])), pa.array(heaps.similarity[row, at])], names=["vec_id", "neighbour_id", "similarity"])
             state.clear()
-            queries.clear()
+            asked.clear()
+            ids.clear()
 
         for batch in batches:
             if not batch.num_rows:
@@ -105,15 +124,15 @@ def _nearest(k: int, tile: int):
                 if (dim, block, strip) != now:
                     yield from finish()
                     now = (dim, block, strip)
-                ids = batch.column(4).to_numpy()[a:b]
-                x = np.frombuffer(b"".join(batch.column(5).slice(a, b - a).to_pylist()), np.float64).reshape(b - a, -1)
-                for i in range(0, b - a, tile):
-                    part = (ids[i : i + tile], *quantise(x[i : i + tile]), x[i : i + tile])
-                    if side == 0:
-                        queries.append(part)
-                    else:
-                        waiting.append(part)
-                        size += len(part[0])
+                mine = batch.column(4).slice(a, b - a)
+                x = unit(batch.column(5).slice(a, b - a), dim)
+                if side == 0:
+                    asked.append((mine, x))
+                elif asked:
+                    ids.append(mine)
+                    for i in range(0, b - a, tile):
+                        waiting.append(x[i : i + tile])
+                        size += len(waiting[-1])
                         if size >= tile:
                             product()
         yield from finish()
@@ -121,91 +140,100 @@ def _nearest(k: int, tile: int):
     return run
 
 
+def unit(vectors: pa.Array, dim: int) -> np.ndarray:
+    """Vectors of one dimension at length 1, in float64."""
+    x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return x
+
+
 def _merge(k: int):
-    """Rows (vec_id, neighbour_id, similarity) in the order of vec_id, merged by a heap each."""
+    """Rows (vec_id, neighbour_id, similarity) in the order of vec_id, merged by a heap each; a row's own id is left out."""
     import heapq
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, heap = None, []
+        now, found, kind = None, [], pa.int64()
         out: list[tuple] = []
 
         def finish() -> None:
-            for rank, (similarity, minus) in enumerate(sorted(heap, reverse=True), 1):
-                out.append((now, -minus, rank, similarity))
+            for rank, (minus, other) in enumerate(heapq.nsmallest(k, found), 1):
+                out.append((now, other, rank, -minus))
+
+        def made() -> pa.RecordBatch:
+            columns = list(zip(*out)) or [()] * 4
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (kind, kind, pa.int32(), pa.float64()))], names=["vec_id", "neighbour_id", "rank", "similarity"])
 
         for batch in batches:
+            kind = batch.column(0).type
             for one, other, similarity in zip(*(batch.column(c).to_pylist() for c in range(3))):
                 if one != now:
                     finish()
-                    now, heap = one, []
-                if len(heap) < k:
-                    heapq.heappush(heap, (similarity, -other))
-                else:
-                    heapq.heappushpop(heap, (similarity, -other))
-            yield _ranked(out)
-            out.clear()
+                    now, found = one, []
+                if other != one:
+                    found.append((-similarity, other))
+            yield made()
         finish()
-        yield _ranked(out)
+        yield made()
 
     return run
 
 
-def _ranked(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) or [()] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.float64()))], names=["vec_id", "neighbour_id", "rank", "similarity"])
+def _one_each(rows: DataFrame) -> DataFrame:
+    """rows (id, v, ask) with one of each id, the least v; vectors are shuffled only for ids that repeat."""
+    twice = cut(rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
+    n = twice.count()
+    if n == 0:
+        return rows
+    again = rows.join(small(twice, n, 64), "id", "left_semi").groupBy("id").agg(F.min("v").alias("v"), F.max("ask").alias("ask"))
+    return rows.join(small(twice, n, 64), "id", "left_anti").select("id", "v", "ask").unionByName(again)
 
 
-def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, vector) to (id, dim, bytes of the vector in float64 at length 1); what can't be brought to it is left out."""
-    for batch in batches:
-        ids, dims, out = [], [], []
-        for ident, vector in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if not vector or None in vector:
-                continue
-            x = np.array(vector, dtype=np.float64)
-            most = np.abs(x).max()
-            if not np.isfinite(most) or most == 0:
-                continue
-            x = x / most
-            ids.append(ident)
-            dims.append(len(x))
-            out.append((x / np.linalg.norm(x)).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(out, pa.binary())], names=["id", "dim", "x"])
-
-
-def nearest_neighbours(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 4096, strip: int = 1 << 16, tile: int = 1024) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", asking: str | None = None, block: int = 1 << 17, strip: int = 1 << 20, tile: int = 1024) -> DataFrame:
     """(vec_id, neighbour_id, rank, similarity): the k other vectors of the greatest cosine similarity to each.
 
+    asking is an SQL condition on vectors for those that are queries; all are where it is None.
     A matrix join: every block of queries meets every strip of all vectors in one group, in
     which the strip streams by in tiles.  A tile's product of int8 codes gives similarities
     to within the lengths of the quantisation errors; pairs whose upper bound reaches the
     block's k-th best so far are recomputed in float64 and merged into bounded heaps, and
-    strips' heaps are merged at the end.  The bounds make the result exact; there is no cap on survivors.  All
-    pairs are met, so work grows with the square of the vectors.
-
-    Ranks count from 1, ties by neighbour id.  Vectors that are null or empty, have a null, NaN or infinite
-    element or no length, are left out, as are those of a null id; of repeated ids one vector is
-    kept, the least as an array; vectors are held against others of the same dimension; fewer than
+    strips' heaps are merged at the end.  The bounds make the result exact; there is no cap
+    on survivors.  Vectors go as they were stored, once a block of queries, and queries
+    once a strip, so blocks are large; strips are at most ``strip`` vectors, and as many as there are
+    tasks to run.  Every query meets all vectors, so work grows with queries times vectors.
+
+    Ranks count from 1, ties by neighbour id.  Ids keep their type.  Vectors that are null or empty, have a null, NaN or infinite
+    element or no length, are left out, as are those of a null id; a null condition isn't met; of repeated ids one vector is
+    kept, the least as an array, and asks if any of them does; vectors are held against others of the same dimension; fewer than
     k others give fewer rows; an empty table gives no rows; other columns are ignored,
     whatever their names.
     """
     ship()
-    rows = vectors.select(col(id_col).cast("bigint").alias("id"), col(vector_col).cast("array<double>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
-    unit = cut(rows.groupBy("id").agg(F.min("v").alias("v")).mapInArrow(_unit, "id bigint, dim int, x binary"))
-    n = unit.count()
-    blocks, strips = max(1, -(-n // block)), max(1, -(-n // strip))
+    kind = kind_of(vectors, id_col)
+    ask = F.lit(True) if asking is None else F.coalesce(F.expr(asking), F.lit(False))
+    rows = vectors.select(col(id_col).alias("id"), col(vector_col).alias("v"), ask.alias("ask")).where("id IS NOT NULL AND v IS NOT NULL")
+    rows = _one_each(rows)
+    sound = F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
+    n, asked = rows.agg(F.count("*"), F.count_if("ask")).first()
+    blocks = max(1, -(-asked // block))
+    wanted = max(1, -(-shuffle_partitions(vectors) // blocks))
+    strips = max(1, -(-n // strip), min(wanted, n // 2048))
+    rows = rows.where(sound).withColumn("dim", F.size("v"))
     spread = lambda seed, parts: F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(parts)).cast("int")
-    ask = unit.select("dim", spread(1, blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(strips - 1))).alias("strip"), F.lit(0).alias("side"), "id", "x")
-    answer = unit.select("dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), spread(2, strips).alias("strip"), F.lit(1).alias("side"), "id", "x")
-    grid = ask.unionByName(answer).repartition(blocks * strips, "dim", "block", "strip").sortWithinPartitions("dim", "block", "strip", "side", "id")
-    found = grid.mapInArrow(_nearest(k, tile), FOUND)
-    return found.repartition("vec_id").sortWithinPartitions("vec_id").mapInArrow(_merge(k), "vec_id bigint, neighbour_id bigint, rank int, similarity double")
+    each = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    queries = rows.where("ask").select("dim", spread(1, blocks).alias("block"), each(strips).alias("strip"), F.lit(0).alias("side"), "id", "v")
+    answers = rows.select("dim", each(blocks).alias("block"), spread(2, strips).alias("strip"), F.lit(1).alias("side"), "id", "v")
+    grid = queries.unionByName(answers).repartitionById(blocks * strips, F.col("block") * strips + F.col("strip")).sortWithinPartitions("dim", "block", "strip", "side", "id")
+    # One more than k, as a query meets itself.
+    found = grid.mapInArrow(_nearest(k + 1, tile), f"vec_id {kind}, neighbour_id {kind}, similarity double")
+    return found.repartition("vec_id").sortWithinPartitions("vec_id").mapInArrow(_merge(k), f"vec_id {kind}, neighbour_id {kind}, rank int, similarity double")
 
 
-def sql(k: int = 10) -> str:
+def sql(k: int = 10, asking: str = "TRUE") -> str:
     return f"""
 WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
 u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v),
-p AS (SELECT a.vec_id, b.vec_id AS neighbour_id, list_dot_product(a.e, b.e) / (a.n * b.n) AS s FROM u a JOIN u b ON a.vec_id <> b.vec_id),
+p AS (SELECT a.vec_id, b.vec_id AS neighbour_id, list_dot_product(a.e, b.e) / (a.n * b.n) AS s FROM (SELECT * FROM u WHERE {asking}) a JOIN u b ON a.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, neighbour_id) AS rank FROM p)
 SELECT vec_id, neighbour_id, rank::INTEGER AS rank, round(s, 6) AS similarity FROM r WHERE rank <= {k}"""
