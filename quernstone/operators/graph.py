@@ -40,19 +40,45 @@ def neighbours(graph: Graph, node: str, direction: str = "both", relationship: s
     return graph.nodes.join(ids, "id", "left_semi")
 
 
+#: Ids of a front up to which edges are looked up by them, and nothing is cached.
+LOOKUP = 1024
+
+
+class _Stepper:
+    """The steps of edges from a front: looked up where it is narrow, from a cached copy once it is wide.
+
+    A narrow front's ids are a filter that reaches the scans below unions and aggregates; a wide
+    one meets all steps, which are cached then, as edges may be an aggregate and levels are many.  What of the cache
+    is lost is computed again.
+    """
+
+    def __init__(self, step: DataFrame):
+        self.step, self.cached = step, None
+
+    def near(self, front: DataFrame, rows: int) -> DataFrame:
+        if rows <= LOOKUP:
+            return self.step.where(F.col("a").isin([r[0] for r in front.select("id").distinct().collect()]))
+        if self.cached is None:
+            self.cached = self.step.persist()
+        return self.cached
+
+    def close(self) -> None:
+        if self.cached is not None:
+            self.cached.unpersist()
+
+
 def distances(edges: DataFrame, starts: DataFrame, direction: str = "outgoing", max_depth: int | None = None) -> DataFrame:
     """(root, id, depth): the least number of steps from every root of starts (root) to every id within max_depth.
 
     All roots advance together, one join and one reliable checkpoint a level; only new
-    pairs go on, and they are broadcast only while their counted size fits.  Steps are cached
-    while levels are found, as edges may be an aggregate; what of them is lost is computed again.
+    pairs go on, and they are broadcast only while their counted size fits.
     """
-    step = steps(edges, direction).select("a", "b").persist()
+    step = _Stepper(steps(edges, direction).select("a", "b"))
     front = cut(starts.select("root").distinct().select("root", F.col("root").alias("id"), F.lit(0).alias("depth")))
     levels, rows, depth = [front], front.count(), 0
     while rows and (max_depth is None or depth < max_depth):
         depth += 1
-        reached = step.join(small(front.select("root", F.col("id").alias("a")), rows), "a").select("root", F.col("b").alias("id")).distinct()
+        reached = step.near(front, rows).join(small(front.select("root", F.col("id").alias("a")), rows), "a").select("root", F.col("b").alias("id")).distinct()
         reached = reached.join(_union(levels).select("root", "id"), ["root", "id"], "left_anti")
         front = cut(reached.withColumn("depth", F.lit(depth)))
         rows = front.count()
@@ -60,7 +86,7 @@ def distances(edges: DataFrame, starts: DataFrame, direction: str = "outgoing",
             levels.append(front)
             if len(levels) > 8:  # a long chain would anti-join as many tables as it has levels
                 levels = [cut(_union(levels))]
-    step.unpersist()
+    step.close()
     return _union(levels)
 
 
@@ -84,10 +110,8 @@ def traverse(graph: Graph, start: str, direction: str = "outgoing", relationship
     inner = ball.where(F.col("depth") < max_depth)
     n = inner.count()
     found = []
-    if direction in ("outgoing", "both"):
-        found.append(edges.join(small(inner.select(F.col("id").alias("src")), n), "src", "left_semi"))
-    if direction in ("incoming", "both"):
-        found.append(edges.join(small(inner.select(F.col("id").alias("dst")), n), "dst", "left_semi"))
+    for end in ("src",) * (direction != "incoming") + ("dst",) * (direction != "outgoing"):
+        found.append(edges.where(F.col(end).isin([r[0] for r in inner.select("id").collect()])) if n <= LOOKUP else edges.join(small(inner.select(F.col("id").alias(end)), n), end, "left_semi"))
     touched = _union([f.select(*edges.columns) for f in found])
     if len(found) == 2:
         touched = touched.dropDuplicates(["src", "dst", "relationship"])
@@ -144,7 +168,7 @@ def shortest_path(graph: Graph, start: str, end: str, direction: str = "both", r
     The front carries its path; ids seen before are left out of it.
     """
     spark = graph.edges.sparkSession
-    step = steps(related(graph.edges, relationship), direction).select("a", "b").distinct().persist()
+    step = _Stepper(steps(related(graph.edges, relationship), direction).select("a", "b"))
     front = spark.createDataFrame([(start, [start])], "id string, path array<string>")
     seen = front.select("id")
     path = [start] if start == end else None
@@ -152,12 +176,12 @@ def shortest_path(graph: Graph, start: str, end: str, direction: str = "both", r
         n = front.count()
         if n == 0:
             break
-        reached = step.join(small(front.select(F.col("id").alias("a"), "path"), n, 256), "a").groupBy(F.col("b").alias("id")).agg(F.min("path").alias("path"))
+        reached = step.near(front, n).join(small(front.select(F.col("id").alias("a"), "path"), n, 256), "a").groupBy(F.col("b").alias("id")).agg(F.min("path").alias("path"))
         front = cut(reached.join(seen, "id", "left_anti").select("id", F.concat("path", F.array("id")).alias("path")))
         seen = cut(seen.union(front.select("id")))
         hit = front.where(F.col("id") == end).select("path").first()
         path = hit and hit[0]
-    step.unpersist()
+    step.close()
     return spark.createDataFrame(list(enumerate(path or [])), "step int, id string")
 
 

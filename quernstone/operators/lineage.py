@@ -4,21 +4,32 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes up to which a side of counted rows is broadcast.
 BROADCAST_BYTES = 32 << 20
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df read back from a reliable checkpoint in the folder of spark.checkpoint.dir (one of this machine only where that is unset and the master is local)."""
-    context = df.sparkSession.sparkContext
+def _folder(spark: SparkSession) -> str:
+    """The folder of reliable checkpoints: that of spark.checkpoint.dir, or one of this machine where that is unset and the master is local."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        at = spark.conf.get("spark.checkpoint.dir", None)
         if at is None and not context.master.split("[")[0] == "local":
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(at or tempfile.mkdtemp(prefix="quernstone-"))
+    return context.getCheckpointDir()
+
+
+def shared(spark: SparkSession, name: str) -> str:
+    """A folder of this session's own among its checkpoints."""
+    return f"{_folder(spark)}/{name}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df read back from a reliable checkpoint."""
+    _folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from math import log
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import phrase_count, python_tokens, substring_count, tokens
@@ -46,6 +47,17 @@ def query_terms(query: str) -> list[str]:
     return re.sub(r"\b(AND|OR|NOT|NEAR)\b", "", bare, flags=re.IGNORECASE).split()
 
 
+def idf_of(n: int, having: int) -> float:
+    """The weight of a phrase that so many of n documents have; a common one weighs next to nothing."""
+    found = log((n - having + 0.5) / (having + 0.5))
+    return found if found > 0 else 1e-6
+
+
+def bm25(times: Column, idf: float, size: Column, mean: float | None) -> Column:
+    """What a phrase adds to the score of a document of size words that has it so many times."""
+    return F.lit(idf) * (times * (K1 + 1)) / (times + K1 * (1 - B + B * size / F.lit(mean or 1.0)))
+
+
 @dataclass
 class _Phrase:
     title: Column
@@ -65,8 +77,7 @@ def _scored(docs: DataFrame, phrases: list[_Phrase], size: Column) -> DataFrame:
     raw = F.lit(0.0)
     for i, h in enumerate(hit):
         every = every & (h > 0)
-        idf = log((totals["n"] - totals[f"n{i}"] + 0.5) / (totals[f"n{i}"] + 0.5))
-        raw = raw + F.lit(idf if idf > 0 else 1e-6) * (h * (K1 + 1)) / (h + K1 * (1 - B + B * F.col("__size") / F.lit(totals["mean"] or 1.0)))
+        raw = raw + bm25(h, idf_of(totals["n"], totals[f"n{i}"]), F.col("__size"), totals["mean"])
     found = counted.where(every).withColumn("raw", raw)
     in_title = F.lit(False)
     in_text = F.lit(False)
@@ -100,18 +111,23 @@ def search(indexed: DataFrame, query: str, nodes: DataFrame | None = None, types
     trigrams join them at 0.7 of their score.  Then the boosts of nodes are added and types
     kept.  The score is ten times the sum, from 0 to 100.  Ties go by key.
     """
-    empty = "key string, type string, title string, description string, score double, matched_fields array<string>"
-    spark = indexed.sparkSession
     terms = query_terms(query)
     by_word = word_hits(indexed, terms) if terms else None
+    return ranked(indexed.sparkSession, by_word, lambda: trigram_hits(indexed, query), nodes, types, limit)
+
+
+def ranked(spark: SparkSession, by_word: DataFrame | None, trigrams: Callable[[], DataFrame | None], nodes: DataFrame | None, types: list[str] | None, limit: int, fetch: Callable[[list[str]], DataFrame] | None = None) -> DataFrame:
+    """The result of search from hits by words, and those by trigrams where they are called for; fetch gets the documents of keys where hits don't have them."""
     if by_word is None:
-        return spark.createDataFrame([], empty)
+        return spark.createDataFrame([], "key string, type string, title string, description string, score double, matched_fields array<string>")
     best = lambda df: df.orderBy(F.desc("raw"), "key").limit(CANDIDATES)
     # At most 100 candidates, so the documents are read once for them whatever follows.
     rows = best(by_word).collect()
     found = spark.createDataFrame(rows, by_word.schema)
+    if fetch:
+        found = found.drop("type").join(fetch([r["key"] for r in rows]), "key").select("key", "type", "title", "description", "raw", "in_title", "in_text")
     if len(rows) < MIN_WORD_HITS:
-        more = trigram_hits(indexed, query)
+        more = trigrams()
         if more is not None:
             found = found.unionByName(best(more).join(found.select("key"), "key", "left_anti").withColumn("raw", F.col("raw") * TRIGRAM_FACTOR))
     if types:

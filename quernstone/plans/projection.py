@@ -75,11 +75,6 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(nodes(spark, sf_dir), edges(spark, sf_dir))
 
 
-def small_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """Without orders."""
-    return Graph(nodes(spark, sf_dir, "region", "nation", "supplier", "customer", "part"), edges(spark, sf_dir, "in_region", "in_nation", "supplied_by"))
-
-
 def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(key, type, title, description): documents by their ids, with languages as types and sources as titles."""
     return table(spark, sf_dir, "documents").select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("key"), F.col("lang").alias("type"), F.col("source").alias("title"), F.col("text").alias("description"))
@@ -100,4 +95,3 @@ UNION ALL SELECT {2 * SPAN} + o_orderkey, 'order:' || o_orderkey, 'customer:' ||
 UNION ALL SELECT min({3 * SPAN} + l_orderkey * 8 + l_linenumber), 'order:' || l_orderkey, 'part:' || l_partkey, 'contains' FROM lineitem GROUP BY l_orderkey, l_partkey
 UNION ALL SELECT min({4 * SPAN} + l_orderkey * 8 + l_linenumber), 'part:' || l_partkey, 'supplier:' || l_suppkey, 'supplied_by' FROM lineitem GROUP BY l_partkey, l_suppkey"""
 WITH = f"WITH RECURSIVE nodes AS ({SQL_NODES}),\nedges AS ({SQL_EDGES})"
-WITH_SMALL = f"{WITH},\nsmall_nodes AS (SELECT * FROM nodes WHERE type <> 'order'), small_edges AS (SELECT * FROM edges WHERE relationship NOT IN ('placed_by', 'contains'))"
