@@ -11,6 +11,7 @@ from .graph import near as ball
 from .lineage import small
 from .model import Graph, json_number, where_all
 from .search import documents, index, search
+from .stored_index import StoredIndex
 
 
 def participating(nodes: DataFrame, edges: DataFrame, relationship: str) -> DataFrame:
@@ -20,16 +21,17 @@ def participating(nodes: DataFrame, edges: DataFrame, relationship: str) -> Data
     return nodes.join(ends, "id", "left_semi")
 
 
-def find(graph: Graph, type: str | None = None, where: dict[str, Any] | None = None, near: dict[str, Any] | None = None, relationship: str | None = None, text: str | None = None, sort: str | None = None, limit: int = 20, indexed: DataFrame | None = None) -> DataFrame:
+def find(graph: Graph, type: str | None = None, where: dict[str, Any] | None = None, near: dict[str, Any] | None = None, relationship: str | None = None, text: str | None = None, sort: str | None = None, limit: int = 20, indexed: DataFrame | StoredIndex | None = None) -> DataFrame:
     """(id, type, name, metadata, score), at most limit rows.
 
     where is a dict of predicates (model.predicate); near has node, and maxDepth (3) and direction
-    ("both"); text is a search.  All must hold.  Sorted by sort, a number in the metadata,
+    ("both"); text is a search, of indexed if there is one (stored, or that of search.index).  All must hold.  Sorted by sort, a number in the metadata,
     downwards with others last, by score if there is a text, else by seq.
     """
     nodes = graph.nodes.select("seq", "id", "type", "name", "metadata")
     if text:
-        hits = search(indexed if indexed is not None else index(documents(graph)), text, graph.nodes, [type] if type else None, limit * 5)
+        wanted = (text, graph.nodes, [type] if type else None, limit * 5)
+        hits = indexed.search(*wanted) if isinstance(indexed, StoredIndex) else search(indexed if indexed is not None else index(documents(graph)), *wanted)
         hit = F.broadcast(hits.select(F.col("key").alias("id"), "score", F.col("type").alias("hit_type"), "title"))
         of_nodes = nodes.join(hit.drop("hit_type", "title"), "id")
         others = hits.where(F.col("type").isin("recall", "note")).select(F.lit(None).cast("bigint").alias("seq"), F.col("key").alias("id"), "type", F.col("title").alias("name"), F.lit(None).cast("string").alias("metadata"), "score")

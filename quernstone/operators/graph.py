@@ -244,3 +244,21 @@ def touching(edges: DataFrame, ids: DataFrame) -> DataFrame:
 def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key."""
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
+
+
+def lookup(graph: Graph, node: str | None = None, type: str | None = None, relationship: str | None = None) -> DataFrame:
+    """What the first of node, type and relationship that is given asks for; all nodes if none is.
+
+    node: one row (node, edges, notes), all as JSON, even if there is no such node; edges are those from it and then
+    those to it, notes in the order of time.  type: its nodes.  relationship: its edges.
+    """
+    if node is None:
+        return graph.nodes.where(F.col("type") == type) if type is not None else graph.edges.where(F.col("relationship") == relationship) if relationship is not None else graph.nodes
+    spark = graph.nodes.sparkSession
+    listed = lambda df, order, *fields: df.agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.struct(*fields).alias("x")))), lambda r: r["x"])).alias("json")).first()[0]
+    one = graph.nodes.where(F.col("id") == node).select(F.to_json(F.struct("id", "type", "name", "metadata"))).first()
+    touching = edge_list(graph, node).withColumn("rank", F.when(F.col("src") == node, 0).otherwise(1))
+    loops = touching.where("src = dst").withColumn("rank", F.lit(1))
+    edges = listed(touching.where("src <> dst").unionByName(loops.dropDuplicates(["seq"])).unionByName(loops.dropDuplicates(["seq"]).withColumn("rank", F.lit(0))), ("rank", "seq"), F.col("src").alias("from"), F.col("dst").alias("to"), "relationship", "metadata")
+    notes = "[]" if graph.notes is None else listed(graph.notes.where(F.col("entity") == node), ("ts", "seq"), "text", "ts")
+    return spark.createDataFrame([(one and one[0], edges, notes)], "node string, edges string, notes string")

@@ -50,3 +50,9 @@ def find_refs(graph: Graph, symbol: str) -> DataFrame:
 def rename_impact(graph: Graph, symbol: str) -> DataFrame:
     """(file, node_id, relationship) of every place that a rename of symbol touches."""
     return find_refs(graph, symbol).select(F.coalesce("file", F.lit("unknown")).alias("file"), "node_id", F.when(F.col("kind") == "definition", "definition").otherwise(F.col("relationship")).alias("relationship"))
+
+
+def first_existing(wanted: DataFrame, listing: DataFrame, *keys: str) -> DataFrame:
+    """(keys, file): of the candidates of each key, as rows (keys, rank, file), the one of the least rank that the listing (file) has."""
+    there = listing.select("file").distinct()
+    return wanted.join(there, "file", "left_semi").groupBy(*keys).agg(F.min_by("file", "rank").alias("file"))

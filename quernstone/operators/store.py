@@ -129,3 +129,37 @@ def to_scan(files: DataFrame, hashes: DataFrame, force: bool = False, max_bytes:
     made = files.withColumn("hash", F.xxhash64("content")).join(hashes.withColumnRenamed("hash", "known"), "path", "left")
     same = F.lit(False) if force else F.coalesce(F.col("hash") == F.col("known"), F.lit(False))
     return made.withColumn("state", F.when(F.col("size") > max_bytes, "too_large").when(same, "unchanged").otherwise("parse")).drop("known")
+
+
+def add_note(notes: DataFrame, entity: str, text: str, ts: int) -> DataFrame:
+    """notes (seq, entity, text, ts) with one more, which comes last among those of its time; an entity needs no node."""
+    last = notes.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+    return notes.unionByName(notes.sparkSession.createDataFrame([(last + 1, entity, text, ts)], "seq bigint, entity string, text string, ts bigint"))
+
+
+def notes_of(notes: DataFrame, entity: str | None = None) -> DataFrame:
+    """(entity, place, text, ts) of the notes of an entity, or of each; place counts from 1 in the order of time and seq."""
+    mine = notes if entity is None else notes.where(F.col("entity") == entity)
+    return mine.withColumn("place", F.row_number().over(Window.partitionBy("entity").orderBy("ts", "seq"))).select("entity", "place", "text", "ts")
+
+
+def merge_offsets(records: DataFrame, ord_col: str, id_col: str, per_range: int = 4096) -> DataFrame:
+    """(ord, offset): what must be added to the ids of each part so that those of all parts are distinct; the sum of the greatest ids of the parts before.
+
+    Parts are numbered by ord_col, an integer.  Their greatest ids are summed within ranges of parts, and the
+    ranges' sums before each range, so no task has more than one range or the list of ranges.
+    """
+    most = records.groupBy(F.col(ord_col).cast("bigint").alias("ord")).agg(F.max(id_col).cast("bigint").alias("most")).withColumn("range", F.floor(F.col("ord") / per_range))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = most.groupBy("range").agg(F.sum("most").alias("whole")).select("range", F.coalesce(F.sum("whole").over(before), F.lit(0)).alias("start"))
+    within = Window.partitionBy("range").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    placed = most.withColumn("run", F.coalesce(F.sum("most").over(within), F.lit(0)))
+    return placed.join(ranges, "range").select("ord", (F.col("start") + F.col("run")).alias("offset"))
+
+
+def merged_ids(records: DataFrame, ord_col: str, id_col: str, *reference_cols: str) -> DataFrame:
+    """records of many parts with their ids, and their references to ids of their part, made distinct; 0 stays 0, as it refers to nothing."""
+    offsets = merge_offsets(records, ord_col, id_col).withColumnsRenamed({"ord": "__ord", "offset": "__offset"})
+    joined = records.join(offsets, F.col(ord_col) == F.col("__ord"))
+    moved = {c: F.when(F.col(c) == 0, F.col(c)).otherwise(F.col(c) + F.col("__offset")) for c in (id_col, *reference_cols)}
+    return joined.withColumns(moved).drop("__ord", "__offset")

@@ -10,7 +10,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..operators import context, diff, export, graph as G, refs, search, stats, store
@@ -19,7 +18,7 @@ from ..operators.lineage import shared
 from ..operators.model import json_number, predicate, where_all
 from ..operators.stored_index import StoredIndex
 from ..streaming import changes
-from .projection import SPAN, WITH, edges, graph, kv_log, nodes, search_documents, table
+from .projection import SPAN, WITH, conversation_notes, document_graph, edges, graph, kv_log, nodes, search_documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -123,10 +122,16 @@ def s7_edges_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.edge_list(graph(spark, sf_dir), "supplier:1").select("src", "dst", "relationship")
 
 
-@query("SELECT conv_id, string_agg(role, '>' ORDER BY turn) AS roles, count(*) AS n FROM conversations GROUP BY conv_id")
+@query("SELECT 'conv:' || conv_id AS entity, (row_number() OVER (PARTITION BY conv_id ORDER BY turn))::INTEGER AS place, text FROM conversations")
 def s8_notes_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    roles = F.array_sort(F.collect_list(F.struct("turn", "role")))
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(roles, lambda r: r["role"]), ">").alias("roles"), F.count("*").alias("n"))
+    return store.notes_of(conversation_notes(spark, sf_dir)).select("entity", "place", "text")
+
+
+@query(f"""{WITH} SELECT 'nation:3' AS id, (SELECT name FROM nodes WHERE id = 'nation:3') AS name, (SELECT count(*) FROM edges WHERE src = 'nation:3' OR dst = 'nation:3') AS edges,
+(SELECT min_by(src, seq) FROM edges WHERE src = 'nation:3' AND relationship = 'in_region') AS first""")
+def p10_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = G.lookup(graph(spark, sf_dir), node="nation:3", type="part", relationship="contains")
+    return one.select(F.get_json_object("node", "$.id").alias("id"), F.get_json_object("node", "$.name").alias("name"), F.json_array_length("edges").cast("bigint").alias("edges"), F.get_json_object("edges", "$[0].from").alias("first"))
 
 
 _KV = "kv AS (SELECT 'user:' || user_id || ':' || event_type AS key, arg_max(props, event_id) AS value, epoch_us(min(ts)) // 1000 AS created_at, epoch_us(arg_max(ts, event_id)) // 1000 AS updated_at FROM events GROUP BY 1)"
@@ -157,11 +162,29 @@ def m8_kv_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("key", "value").join(n, "key")
 
 
-@query("""WITH e AS (SELECT event_id, user_id, event_type, value FROM events)
-SELECT 'user:' || user_id AS id, arg_max(event_type, event_id) AS type, min(event_id) AS seq, count(*) FILTER (WHERE FALSE) AS unused FROM e GROUP BY user_id""")
+@query("""WITH e AS (SELECT 'user:' || user_id AS id, * FROM events), gone AS (SELECT id, max(event_id) AS at FROM e WHERE event_type = 'purchase' AND event_id % 5 = 0 GROUP BY id),
+puts AS (SELECT e.* FROM e LEFT JOIN gone g USING (id) WHERE event_type IN ('view', 'signup', 'click') AND (g.at IS NULL OR event_id > g.at)),
+n AS (SELECT id, min(event_id) AS seq, arg_max(event_type, event_id) AS type, arg_max(CASE WHEN event_type <> 'click' THEN props END, event_id) AS unused, arg_max(coalesce(CASE WHEN event_type <> 'click' THEN props END, '-'), event_id) AS m FROM puts GROUP BY id),
+b AS (SELECT id, max(event_id) AS at, arg_max(value, event_id) AS boost FROM e WHERE event_type = 'error' GROUP BY id)
+SELECT n.id, n.type, n.seq, CASE WHEN m = '-' THEN NULL ELSE m END AS metadata, CASE WHEN b.at > n.seq THEN b.boost ELSE 0 END::DOUBLE AS boost FROM n LEFT JOIN b USING (id)""")
 def m1_node_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.lit("put").alias("op"), F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("id"), F.col("event_type").alias("type"), F.lit("u").alias("name"), F.lit(None).cast("string").alias("metadata"))
-    return store.current_nodes(log).select("id", "type", "seq", F.lit(0).cast("bigint").alias("unused"))
+    """Puts, of which clicks clear the metadata, deletes and boosts, in the order of events."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("id"), F.col("event_type").alias("type"), "value", "props")
+    op = F.when(F.col("type").isin("view", "signup", "click"), "put").when((F.col("type") == "purchase") & (F.col("seq") % 5 == 0), "delete")
+    log = e.select("seq", op.alias("op"), "id", "type", F.lit("u").alias("name"), F.when(F.col("type") != "click", F.col("props")).alias("metadata")).where("op IS NOT NULL")
+    boosts = e.where("type = 'error'").select("seq", "id", F.col("value").cast("double").alias("boost"))
+    return store.current_nodes(log, boosts).select("id", "type", "seq", "metadata", "boost")
+
+
+@query("""WITH e AS (SELECT *, 'user:' || user_id AS src, 'item:' || (event_id % 50) AS dst FROM events), cut AS (SELECT src, max(event_id) AS at FROM e WHERE event_type = 'purchase' AND event_id % 10 = 0 GROUP BY src),
+log AS (SELECT e.* FROM e LEFT JOIN cut c USING (src) WHERE event_type IN ('view', 'click', 'error') AND (c.at IS NULL OR c.at < event_id)),
+gone AS (SELECT src, dst, max(event_id) AS at FROM log WHERE event_type = 'error' GROUP BY ALL)
+SELECT l.src, l.dst, min(event_id) AS seq, arg_max(props, event_id) AS metadata FROM log l LEFT JOIN gone g ON l.src = g.src AND l.dst = g.dst WHERE event_type <> 'error' AND (g.at IS NULL OR event_id > g.at) GROUP BY l.src, l.dst""")
+def m2_edge_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("src"), F.concat(F.lit("item:"), (F.col("event_id") % 50).cast("string")).alias("dst"), "event_type", "props")
+    log = e.where("event_type IN ('view', 'click', 'error')").select("seq", F.when(F.col("event_type") == "error", "delete").otherwise("put").alias("op"), "src", "dst", F.lit("did").alias("relationship"), F.col("props").alias("metadata"))
+    deleted = e.where("event_type = 'purchase' AND seq % 10 = 0").select("seq", F.col("src").alias("id"))
+    return store.current_edges(log, deleted).select("src", "dst", "seq", "metadata")
 
 
 @query(f"""WITH l AS (SELECT l_orderkey, l_partkey, min({3 * SPAN} + l_orderkey * 8 + l_linenumber) AS seq, max(l_linenumber) AS line FROM lineitem GROUP BY 1, 2)
@@ -254,6 +277,18 @@ def g7_dependency_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return far.groupBy("root").agg(F.max("depth").alias("depth"), F.count("*").alias("reached"))
 
 
+@query(f"""{WITH}, walk AS (SELECT 'part:2' AS id, 0 AS depth UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.id AND e.relationship IN ('supplied_by', 'in_nation') WHERE w.depth < 2)
+SELECT id, min(depth)::INTEGER AS depth FROM walk GROUP BY id HAVING min(depth) > 0""")
+def g6_collect_related(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.collect_related(graph(spark, sf_dir), "part:2", "outgoing", ["supplied_by", "in_nation"], 2)
+
+
+@query()
+def g3_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A depth that binds: which ids are reached depends on the order, which SQL has no form for."""
+    return G.traverse_depth_first(graph(spark, sf_dir), "supplier:1", direction="both", max_depth=3)
+
+
 @query(f"{WITH}, ends AS (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) SELECT id, count(*) AS degree FROM ends GROUP BY id")
 def g8_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.degrees(edges(spark, sf_dir)).select("id", "degree")
@@ -298,10 +333,27 @@ def a7_hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.hotspots(graph(spark, sf_dir), "size")
 
 
-@query("SELECT o_orderkey, o_totalprice, sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) IS NULL AS first FROM orders")
+@query("""WITH m AS (SELECT l_orderkey, max(l_linenumber) AS most FROM lineitem GROUP BY 1), o AS (SELECT l_orderkey, coalesce(sum(most) OVER (ORDER BY l_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM m)
+SELECT l_orderkey AS part, (l_linenumber + off)::BIGINT AS id, (CASE WHEN l_linenumber = 1 THEN 0 ELSE l_linenumber - 1 + off END)::BIGINT AS parent FROM lineitem JOIN o USING (l_orderkey)""")
 def a19_running_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, -1)
-    return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.sum("o_totalprice").over(w).isNull().alias("first"))
+    """Lines of orders as the records of many parts, each of which refers to the line before."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("part"), F.col("l_linenumber").cast("bigint").alias("id"), (F.col("l_linenumber") - 1).cast("bigint").alias("parent"))
+    return store.merged_ids(lines, "part", "id", "parent").select("part", "id", "parent")
+
+
+_TOP = "(SELECT string_agg(id, ',' ORDER BY degree DESC, first) FROM (SELECT * FROM deg ORDER BY degree DESC, first LIMIT 10))"
+
+
+@query(f"""{WITH}, {_ENDS}, far AS (SELECT id AS root, id, 0 AS depth FROM nodes WHERE type = 'nation' UNION SELECT f.root, e.dst, f.depth + 1 FROM far f JOIN edges e ON e.src = f.id AND e.relationship IN ('in_region', 'in_nation')),
+hot AS (SELECT 'part:' || p_partkey AS id, p_size * (1 + coalesce(degree, 0)) AS score, p_partkey FROM part LEFT JOIN deg ON id = 'part:' || p_partkey WHERE p_size > 0 ORDER BY score DESC, p_partkey LIMIT 10)
+SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges, (SELECT string_agg(type || '=' || n, ',' ORDER BY type) FROM (SELECT type, count(*) AS n FROM nodes GROUP BY type)) AS types,
+round((SELECT avg(p_size) FROM part), 6) AS mean, (SELECT 'part:' || arg_min(p_partkey, struct_pack(a := -p_size, b := p_partkey)) FROM part) AS most, {_TOP} AS connected, (SELECT string_agg(id, ',' ORDER BY score DESC, p_partkey) FROM hot) AS hotspots, (SELECT max(depth)::BIGINT FROM far) AS depth""")
+def c1_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All statistics as one object."""
+    s = stats.compute(graph(spark, sf_dir), "size", "nation", ["in_region", "in_nation"])
+    listed = lambda rows: ",".join(r["id"] for r in rows)
+    row = (s["totalNodes"], s["totalEdges"], ",".join(f"{k}={n}" for k, n in sorted(s["nodes"].items())), round(s["avgComplexity"], 6), s["maxComplexity"]["id"], listed(s["mostConnected"]), listed(s["hotspots"]), s["maxDependencyDepth"])
+    return spark.createDataFrame([row], "nodes bigint, edges bigint, types string, mean double, most string, connected string, hotspots string, depth bigint")
 
 
 # -- search
@@ -365,6 +417,43 @@ def b6_trigram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("key", F.round("raw", 6).alias("raw"))
 
 
+_BOOSTED = f"""{_bm25(['esan'])}, top AS (SELECT * FROM hits ORDER BY raw DESC, key LIMIT 100), good AS (SELECT DISTINCT 'doc:' || doc_id AS key FROM labels WHERE quality = 1),
+scored AS (SELECT key, type, round(least(100, greatest(0, (raw + CASE WHEN g.key IS NULL THEN 0 ELSE 0.5 END) * 10)), 6) AS score FROM top t LEFT JOIN good g USING (key))"""
+
+
+@query(f"WITH {_BOOSTED} SELECT key, score FROM scored WHERE type IN ('en', 'fr') ORDER BY score DESC, key LIMIT 15")
+def b7_boosted_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = stored(spark, sf_dir).search("esan", document_graph(spark, sf_dir).nodes, ["en", "fr"], 15)
+    return found.select("key", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {_bm25(['src3'])}, f AS (SELECT key, list_contains(tt, 'src3') AS t, list_contains(dt, 'src3') AS d FROM ({_TOKENS}))
+SELECT key, CASE WHEN t AND d THEN 'title,description' WHEN t THEN 'title' ELSE 'description' END AS fields FROM (SELECT * FROM hits ORDER BY raw DESC, key LIMIT 100) JOIN f USING (key) ORDER BY least(100, raw * 10) DESC, key LIMIT 20""")
+def b9_matched_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir).search("src3").select("key", F.array_join("matched_fields", ",").alias("fields"))
+
+
+@query(f"""WITH {_bm25(['esan'])}, best AS (SELECT key FROM (SELECT * FROM hits ORDER BY raw DESC, key LIMIT 100) ORDER BY least(100, raw * 10) DESC, key LIMIT 20)
+SELECT key, '{{"id":"' || key || '","type":"' || lang || '","name":"' || source || '","metadata":"{{\\"n_chars\\":' || n_chars || '}}"}}' AS value FROM best JOIN documents ON key = 'doc:' || doc_id""")
+def b10_hydrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.hydrate(stored(spark, sf_dir).search("esan"), document_graph(spark, sf_dir)).select("key", "value")
+
+
+@query(f"WITH {_BOOSTED}, most AS (SELECT * FROM scored WHERE type = 'en' ORDER BY score DESC, key LIMIT 100) SELECT key AS id, score, n_chars::DOUBLE AS n_chars FROM most JOIN documents ON key = 'doc:' || doc_id WHERE n_chars >= 500 ORDER BY score DESC, doc_id LIMIT 20")
+def q1_find_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find(document_graph(spark, sf_dir), type="en", where={"n_chars": {"gte": 500}}, text="esan", indexed=stored(spark, sf_dir))
+    return found.select("id", F.round("score", 6).alias("score"), json_number(F.col("metadata"), "n_chars").alias("n_chars"))
+
+
+@query("""WITH d AS (SELECT 'doc:' || doc_id AS key, lower(text) AS t, greatest(length(source) - 2, 0) + greatest(length(text) - 2, 0) AS size FROM documents),
+c AS (SELECT key, size, CASE WHEN contains(t, 'hshtionhe') THEN len(list_filter(range(1, greatest(length(t) - 7, 1)), lambda i: substr(t, i, 9) = 'hshtionhe')) ELSE 0 END AS f FROM d),
+s AS (SELECT count(*) AS n, avg(size) AS mean, count(*) FILTER (WHERE f > 0) AS h FROM c)
+SELECT key, round(least(100, 7 * ln((n - h + 0.5) / (h + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * size / mean))), 6) AS score FROM c, s WHERE f > 0""")
+def b6_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No word is as the query, so the hits are those by trigrams, at 0.7 of their score."""
+    return stored(spark, sf_dir).search("hshtionhe").select("key", F.round("score", 6).alias("score"))
+
+
 @query(r"SELECT doc_id, len(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+'))::BIGINT AS words, array_to_string(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')[1:5], ' ') AS head FROM documents")
 def b2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = T.tokens(F.col("text"))
@@ -467,3 +556,29 @@ def t7_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.coalesce_changes(e)
 
 
+@query("""SELECT label, count(*) AS n FROM (SELECT CASE WHEN contains(text, 'fs.') OR contains(text, 'readFile') OR contains(text, 'writeFile') OR contains(text, 'appendFile') OR contains(text, 'unlink') OR contains(text, 'mkdir') THEN CASE WHEN contains(text, 'read') THEN 'file_read' ELSE 'file_write' END
+WHEN contains(text, 'fetch') OR contains(text, 'axios') OR contains(text, 'http.') OR contains(text, 'https.') THEN 'network'
+WHEN contains(text, 'db.') OR contains(text, 'prisma.') OR contains(text, 'mongoose.') OR contains(text, '.query') OR contains(text, '.find') OR contains(text, '.create') OR contains(text, '.update') OR contains(text, '.delete') OR contains(text, '.save') THEN CASE WHEN contains(text, 'find') OR contains(text, 'get') OR contains(text, 'query') OR contains(text, 'select') THEN 'db_read' ELSE 'db_write' END
+WHEN contains(text, 'console.') THEN 'console' WHEN contains(text, 'process.') OR contains(text, 'child_process') THEN 'process' WHEN contains(text, 'document.') OR contains(text, 'window.') OR contains(text, 'getElementById') OR contains(text, 'querySelector') THEN 'dom' WHEN contains(text, 'localStorage') OR contains(text, 'sessionStorage') THEN 'storage' END AS label
+FROM (SELECT html AS text FROM pages UNION ALL SELECT text FROM documents UNION ALL SELECT word || '.' || event_type FROM events, (SELECT unnest(['fs', 'db', 'db.find', 'http', 'console', 'process', 'window', 'localStorage', 'x']) AS word))) GROUP BY label""")
+def f13_side_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classifier of call chains over all texts, pages and chains made of events."""
+    words = F.explode(F.array(*(F.lit(w) for w in ("fs", "db", "db.find", "http", "console", "process", "window", "localStorage", "x"))))
+    chains = table(spark, sf_dir, "events").select("event_type", words.alias("word")).select(F.concat("word", F.lit("."), "event_type").alias("text"))
+    texts = table(spark, sf_dir, "pages").select(F.col("html").alias("text")).unionByName(table(spark, sf_dir, "documents").select("text")).unionByName(chains)
+    return texts.select(T.side_effect(F.col("text")).alias("label")).groupBy("label").agg(F.count("*").alias("n"))
+
+
+_PATH = "regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)"
+
+
+@query(f"""WITH h AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages), c AS (SELECT page_id, href, unnest([href, href || '/', '/en/' || length(href), '/fr/' || length(href), '/de/' || length(href) * 7]) AS file, unnest([0, 1, 2, 3, 4]) AS rank FROM h)
+SELECT page_id, href, arg_min(file, rank) AS file FROM c WHERE file IN (SELECT {_PATH} FROM pages) GROUP BY page_id, href""")
+def j14_first_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links of pages, each to the first of its candidate paths that a page has."""
+    p = table(spark, sf_dir, "pages")
+    links = p.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href")).distinct()
+    n = F.length("href")
+    among = F.array(F.col("href"), F.concat("href", F.lit("/")), F.concat(F.lit("/en/"), n.cast("string")), F.concat(F.lit("/fr/"), n.cast("string")), F.concat(F.lit("/de/"), (n * 7).cast("string")))
+    wanted = links.select("page_id", "href", F.posexplode(among).alias("rank", "file"))
+    return refs.first_existing(wanted, p.select(F.regexp_extract("url", r"^[a-z]+://[^/?#]*([^?#]*)", 1).alias("file")), "page_id", "href")

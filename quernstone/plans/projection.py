@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.model import Graph
+from ..operators.model import EDGES, Graph
 from ..operators.store import upsert_edges
 
 #: Kinds of nodes: table, key, name, place in the order of seq, columns of the metadata.
@@ -80,6 +80,20 @@ def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("key"), F.col("lang").alias("type"), F.col("source").alias("title"), F.col("text").alias("description"))
 
 
+def document_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """Documents as nodes without edges, with their length as metadata; good labels have a boost of a half."""
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id", F.lit(0.5).alias("boost")).distinct()
+    docs = table(spark, sf_dir, "documents").join(good, "doc_id", "left")
+    made = docs.select(F.col("doc_id").alias("seq"), F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("id"), F.col("lang").alias("type"), F.col("source").alias("name"), F.coalesce("boost", F.lit(0.0)).alias("boost"), F.to_json(F.struct("n_chars")).alias("metadata"))
+    return Graph(made, spark.createDataFrame([], EDGES))
+
+
+def conversation_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as notes of their conversation."""
+    c = table(spark, sf_dir, "conversations")
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.concat(F.lit("conv:"), F.col("conv_id").cast("string")).alias("entity"), "text", F.col("turn").cast("bigint").alias("ts"))
+
+
 def kv_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a log of puts: a key for each user and kind of event."""
     key = F.concat(F.lit("user:"), F.col("user_id").cast("string"), F.lit(":"), F.col("event_type"))
