@@ -58,8 +58,8 @@ def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: Bytes up to which a side whose row count is known may be broadcast.
-BROADCAST_BYTES = 32 << 20
+#: Bytes up to which a side whose row count is known may be broadcast; a hash relation takes several times as much on the driver.
+BROADCAST_BYTES = 8 << 20
 
 
 def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
