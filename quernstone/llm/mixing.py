@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bucket_of, col, hash_key, never_null, shuffle_partitions, words
+from .common import bucket_of, col, hash_key, inner, never_null, shuffle_partitions, words
 
 
 def tempered_budgets(tokens: DataFrame, alpha: float, epochs: float | None = None) -> DataFrame:
@@ -41,24 +41,25 @@ def mix_to_budgets(docs: DataFrame, alpha: float, epochs: float | None = None, s
     each; rows of sources without tokens are left out; an empty table gives no rows.
     Other columns are kept; those named n_tokens, epoch, start or take are replaced.
     """
-    buckets = max(16, shuffle_partitions(docs))
-    keyed = docs.withColumn("n_tokens", words(text_col)).withColumns({"__q_key": hash_key(seed, id_col), "__q_from": never_null(source_col)}).withColumn("__q_bucket", bucket_of(F.col("__q_key"), buckets))
-    sums = keyed.groupBy(F.col("__q_from").alias("source"), F.col("__q_bucket").alias("bucket")).agg(F.sum("n_tokens").alias("n"))
+    q = inner(docs)
+    buckets = max(64, 4 * shuffle_partitions(docs))
+    keyed = docs.withColumn("n_tokens", words(text_col)).withColumns({q("key"): hash_key(seed, id_col), q("from"): never_null(source_col)}).withColumn(q("bucket"), bucket_of(F.col(q("key")), buckets))
+    sums = keyed.groupBy(F.col(q("from")).alias("source"), F.col(q("bucket")).alias("bucket")).agg(F.sum("n_tokens").alias("n"))
     by_source = Window.partitionBy("source")
     placed = sums.select("source", "bucket", F.sum("n").over(by_source).alias("size"), (F.sum("n").over(by_source.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
     budgets = tempered_budgets(sums.groupBy("source").agg(F.sum("n").alias("n")), alpha, epochs)
-    budgets = budgets.select(F.col("source").alias("__q_of"), F.col("budget").alias("__q_budget"))
-    places = placed.join(budgets, F.col("source") == F.col("__q_of")).select(F.col("source").alias("__q_source"), F.col("bucket").alias("__q_at"), F.col("size").alias("__q_size"), F.col("before").alias("__q_before"), "__q_budget")
-    order = [F.col("__q_key"), col(id_col), col(text_col)]
-    within = Window.partitionBy("__q_from", "__q_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    run = keyed.withColumn("__q_run", F.sum("n_tokens").over(within) - F.col("n_tokens"))
-    joined = run.join(places.hint("shuffle_merge"), (F.col("__q_from") == F.col("__q_source")) & (F.col("__q_bucket") == F.col("__q_at")))
-    before = F.col("__q_before") + F.col("__q_run")
-    full, rest = F.floor(F.col("__q_budget") / F.col("__q_size")), F.col("__q_budget") % F.col("__q_size")
-    copies = joined.withColumns({"__q_first": before, "__q_full": full.cast("bigint"), "__q_rest": rest}).withColumn("__q_copies", F.col("__q_full") + F.when(F.col("__q_first") < F.col("__q_rest"), 1).otherwise(0)).where("__q_copies > 0")
-    rows = copies.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__q_copies") - 1)))
-    rows = rows.withColumns({"start": F.col("epoch") * F.col("__q_size") + F.col("__q_first"), "take": F.when(F.col("epoch") < F.col("__q_full"), F.col("n_tokens")).otherwise(F.least("n_tokens", F.col("__q_rest") - F.col("__q_first")))})
-    return rows.drop("__q_key", "__q_from", "__q_bucket", "__q_run", "__q_source", "__q_at", "__q_size", "__q_before", "__q_budget", "__q_first", "__q_full", "__q_rest", "__q_copies")
+    budgets = budgets.select(F.col("source").alias(q("of")), F.col("budget").alias(q("budget")))
+    places = placed.join(budgets, F.col("source") == F.col(q("of"))).select(F.col("source").alias(q("source")), F.col("bucket").alias(q("at")), F.col("size").alias(q("size")), F.col("before").alias(q("before")), q("budget"))
+    order = [F.col(q("key")), col(id_col), col(text_col)]
+    within = Window.partitionBy(q("from"), q("bucket")).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    run = keyed.withColumn(q("run"), F.sum("n_tokens").over(within) - F.col("n_tokens"))
+    joined = run.join(places.hint("shuffle_merge"), (F.col(q("from")) == F.col(q("source"))) & (F.col(q("bucket")) == F.col(q("at"))))
+    before = F.col(q("before")) + F.col(q("run"))
+    full, rest = F.floor(F.col(q("budget")) / F.col(q("size"))), F.col(q("budget")) % F.col(q("size"))
+    copies = joined.withColumns({q("first"): before, q("full"): full.cast("bigint"), q("rest"): rest}).withColumn(q("copies"), F.col(q("full")) + F.when(F.col(q("first")) < F.col(q("rest")), 1).otherwise(0)).where(F.col(q("copies")) > 0)
+    rows = copies.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(q("copies")) - 1)))
+    rows = rows.withColumns({"start": F.col("epoch") * F.col(q("size")) + F.col(q("first")), "take": F.when(F.col("epoch") < F.col(q("full")), F.col("n_tokens")).otherwise(F.least("n_tokens", F.col(q("rest")) - F.col(q("first"))))})
+    return rows.drop(q("key"), q("from"), q("bucket"), q("run"), q("source"), q("at"), q("size"), q("before"), q("budget"), q("first"), q("full"), q("rest"), q("copies"))
 
 
 def sql(alpha: float, seed: int = 1) -> str:
@@ -77,7 +78,11 @@ FROM (SELECT *, unnest(range(full_epochs + CASE WHEN first < rest THEN 1 ELSE 0
 
 
 def cut_texts(mixed: DataFrame, text_col: str = "text") -> DataFrame:
-    """Rows of mix_to_budgets of some tokens, with texts ended after ``take`` words, and n_chars (if it is there) made to fit."""
+    """Rows of mix_to_budgets of some tokens, with texts ended after ``take`` words, and n_chars (if it is there) made to fit.
+
+    Rows of no tokens (null and empty texts) are kept as they are; those of which nothing is taken go; repeated rows
+    are each cut; an empty table gives no rows; other columns are kept.
+    """
     ended = F.array_join(F.slice(F.split(col(text_col), r"(?<=[^ \t\n\r\f\x0B])(?=[ \t\n\r\f\x0B])"), F.lit(1), F.col("take").cast("int")), "")
     rows = mixed.where("n_tokens = 0 OR take > 0")
     text = F.when(F.col("take") >= F.col("n_tokens"), col(text_col)).otherwise(ended)
