@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bucket_of, col, hash_key, never_null, shuffle_partitions
+from .common import bucket_of, col, hash_key, inner, never_null, shuffle_partitions
 
 
 def stratified_shards(docs: DataFrame, shards: int, seed: int = 1, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
@@ -26,31 +26,32 @@ def stratified_shards(docs: DataFrame, shards: int, seed: int = 1, id_col: str =
     ordered by id, then as Spark has them, their positions being alike in every column but
     those not named here; an empty table gives no rows.  Other columns are kept; those named position or shard are replaced.
     """
-    ranges = max(16, shuffle_partitions(docs))
-    keyed = docs.withColumns({"__q_key": hash_key(seed, id_col), "__q_source": never_null(source_col)}).withColumn("__q_range", bucket_of(F.col("__q_key"), ranges))
-    counts = keyed.groupBy(F.col("__q_source").alias("__q_of"), F.col("__q_range").alias("__q_at")).agg(F.count("*").alias("n"))
-    of = Window.partitionBy("__q_of")
-    places = counts.select("__q_of", "__q_at", F.sum("n").over(of).alias("__q_size"), (F.sum("n").over(of.orderBy("__q_at").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("__q_before"))
-    within = Window.partitionBy("__q_source", "__q_range").orderBy("__q_key", col(id_col))
-    ranked = keyed.withColumn("__q_row", F.row_number().over(within)).join(places.hint("shuffle_merge"), (F.col("__q_source") == F.col("__q_of")) & (F.col("__q_range") == F.col("__q_at")))
-    ranked = ranked.withColumn("__q_frac", (2 * (F.col("__q_before") + F.col("__q_row")) - 1).cast("double") / (2 * F.col("__q_size")))
-    ranked = ranked.withColumn("__q_slot", F.floor(F.col("__q_frac") * ranges).cast("int")).drop("__q_of", "__q_at", "__q_before", "__q_row", "__q_range")
+    q = inner(docs)
+    ranges = max(64, 4 * shuffle_partitions(docs))
+    keyed = docs.withColumns({q("key"): hash_key(seed, id_col), q("source"): never_null(source_col)}).withColumn(q("range"), bucket_of(F.col(q("key")), ranges))
+    counts = keyed.groupBy(F.col(q("source")).alias(q("of")), F.col(q("range")).alias(q("at"))).agg(F.count("*").alias("n"))
+    of = Window.partitionBy(q("of"))
+    places = counts.select(q("of"), q("at"), F.sum("n").over(of).alias(q("size")), (F.sum("n").over(of.orderBy(q("at")).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias(q("before")))
+    within = Window.partitionBy(q("source"), q("range")).orderBy(q("key"), col(id_col))
+    ranked = keyed.withColumn(q("row"), F.row_number().over(within)).join(places.hint("shuffle_merge"), (F.col(q("source")) == F.col(q("of"))) & (F.col(q("range")) == F.col(q("at"))))
+    ranked = ranked.withColumn(q("frac"), (2 * (F.col(q("before")) + F.col(q("row"))) - 1).cast("double") / (2 * F.col(q("size"))))
+    ranked = ranked.withColumn(q("slot"), F.floor(F.col(q("frac")) * ranges).cast("int")).drop(q("of"), q("at"), q("before"), q("row"), q("range"))
     # Of a source of n rows, those with a fractional rank before slot / ranges are known by n alone.
-    sizes = counts.groupBy("__q_of").agg(F.sum("n").alias("n"))
+    sizes = counts.groupBy(q("of")).agg(F.sum("n").alias("n"))
     slots = sizes.select("n", F.explode(F.sequence(F.lit(1), F.lit(ranges))).alias("slot"))
     edge = F.col("slot").cast("double") / ranges
     near = F.floor(edge * F.col("n") + 0.5).cast("bigint")
     frac = lambda r: (2 * r - 1).cast("double") / (2 * F.col("n"))
     slot_of = lambda r: F.floor(frac(r) * ranges)
     below = sum((F.when((near + k >= 1) & (near + k <= F.col("n")) & (slot_of(near + k) < F.col("slot")), 1).otherwise(0) for k in (-1, 0, 1)), F.greatest(F.least(near - 2, F.col("n")), F.lit(0)))
-    starts = slots.groupBy(F.col("slot").alias("__q_slot_at")).agg(F.sum(below).cast("bigint").alias("__q_start"))
-    total = F.max(F.when(F.col("__q_slot_at") == ranges, F.col("__q_start"))).over(Window.partitionBy())
-    starts = starts.select("__q_slot_at", "__q_start", total.alias("__q_total"))
-    starts = starts.union(starts.where(F.col("__q_slot_at") == ranges).select(F.lit(0), F.lit(0).cast("bigint"), "__q_total"))
-    order = Window.partitionBy("__q_slot").orderBy("__q_frac", col(source_col), "__q_key", col(id_col))
-    rows = ranked.withColumn("__q_row", F.row_number().over(order)).join(starts.hint("shuffle_merge"), F.col("__q_slot") == F.col("__q_slot_at"))
-    rows = rows.withColumn("position", F.col("__q_start") + F.col("__q_row") - 1)
-    return rows.withColumn("shard", F.floor(F.col("position") * shards / F.col("__q_total")).cast("bigint")).drop("__q_key", "__q_source", "__q_size", "__q_frac", "__q_slot", "__q_row", "__q_slot_at", "__q_start", "__q_total")
+    starts = slots.groupBy(F.col("slot").alias(q("slot_at"))).agg(F.sum(below).cast("bigint").alias(q("start")))
+    total = F.max(F.when(F.col(q("slot_at")) == ranges, F.col(q("start")))).over(Window.partitionBy())
+    starts = starts.select(q("slot_at"), q("start"), total.alias(q("total")))
+    starts = starts.union(starts.where(F.col(q("slot_at")) == ranges).select(F.lit(0), F.lit(0).cast("bigint"), q("total")))
+    order = Window.partitionBy(q("slot")).orderBy(q("frac"), col(source_col), q("key"), col(id_col))
+    rows = ranked.withColumn(q("row"), F.row_number().over(order)).join(starts.hint("shuffle_merge"), F.col(q("slot")) == F.col(q("slot_at")))
+    rows = rows.withColumn("position", F.col(q("start")) + F.col(q("row")) - 1)
+    return rows.withColumn("shard", F.floor(F.col("position") * shards / F.col(q("total"))).cast("bigint")).drop(q("key"), q("source"), q("size"), q("frac"), q("slot"), q("row"), q("slot_at"), q("start"), q("total"))
 
 
 def sql(shards: int, seed: int = 1) -> str:
