@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
 from ..session import ship
-from .common import col, small
-from .textbytes import U64, UPPER, Words, chunks, mix, string_buffers
+from .common import col, inner, small
+from .textbytes import U64, Words, chunks, mix, string_buffers
 
 _STEP = 0x9E3779B97F4A7C15
 _BLOCK = 4096
@@ -45,26 +45,22 @@ class Model:
 def indicators(raw: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(text number, feature) of each distinct n-gram of each text, sorted.
 
-    n-grams are single words, pairs of words, what stands between two words (spaces, punctuation, line
-    ends), and that with the cases of the words about it and whether they are the same.
+    n-grams are runs of one or two words, and runs of one or two separators: what stands
+    between a word and the next (spaces, punctuation, line ends).
     """
     words = Words(raw, offsets)
     h, text = words.hash, words.text
     n = len(h)
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    upper = np.zeros(len(raw) + 1, np.int64)
-    np.cumsum(UPPER[raw], out=upper[1:])
-    size, capitals = words.end - words.start, upper[words.end] - upper[words.start]
-    shape = ((capitals > 0).astype(np.int64) + ((capitals * 2 > size) & (size > 1))).astype(U64)
     gap = words.gap_hashes()
     follows = np.zeros(n, dtype=bool)
     follows[:-1] = text[1:] == text[:-1]
     at = np.flatnonzero(follows)
     pair = mix(h[at] * U64(_STEP) + h[at + 1])
-    cases = mix(gap[at] ^ (shape[at] * U64(6) + shape[at + 1] * U64(2) + (h[at] == h[at + 1]) + U64(1)) * U64(_STEP))
+    gaps = mix(gap[at] * U64(_STEP) + gap[at + 1] + U64(3))
     keys = []
-    for where, what in ((text, mix(h + U64(1))), (text[at], pair), (text, mix(gap + U64(2))), (text[at], cases)):
+    for where, what in ((text, mix(h + U64(1))), (text[at], pair), (text, mix(gap + U64(2))), (text[at], gaps)):
         keys.append((where.astype(U64) << U64(32)) | (what >> U64(64 - bits)))
     keys = np.concatenate(keys)
     keys.sort()
@@ -185,9 +181,9 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_
     Rows of a null id, text or label, and ids of contradicting labels, don't count; repeated labels count once.
     """
     ship()
-    known = labels.select(col(id_col).cast("bigint").alias("id"), col(label_col).cast("int").alias("label")).where("id IS NOT NULL AND label IN (0, 1)")
+    known = labels.select(col(id_col).alias("id"), col(label_col).cast("int").alias("label")).where("id IS NOT NULL AND label IN (0, 1)")
     known = known.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most").select("id", "label")
-    texts = docs.select(col(id_col).cast("bigint").alias("id"), col(text_col).cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    texts = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     labelled = texts.join(small(known, known.count(), 24), "id").select("text", "label", "id")
     kind = "block int, negative bigint, positive bigint, counts binary"
     blocks = labelled.select("text", "label").mapInArrow(_count(settings.bits), kind).repartition("block").mapInArrow(_add, kind).collect()
@@ -206,40 +202,47 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_
 
 
 def _score(model: Model, bits: int):
+    """Rows whose last column is the text to the other columns and their score."""
     weights, squares = model.weights, model.ratios.astype(np.float64) ** 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, off = string_buffers(batch.column(batch.schema.get_field_index("__q_text")))
+            raw, off = string_buffers(batch.columns[-1])
             score = np.full(batch.num_rows, model.intercept)
             for i, j in chunks(off):
                 text, feature = indicators(raw[off[i] : off[j]], off[i : j + 1] - off[i], bits)
                 norm = np.sqrt(np.bincount(text, weights=squares[feature], minlength=j - i))
                 total = np.bincount(text, weights=weights[feature], minlength=j - i)
                 score[i:j] += np.divide(total, norm, out=np.zeros(j - i), where=norm > 0)
-            columns = [c for c, f in zip(batch.columns, batch.schema) if f.name != "__q_text"]
-            names = [f.name for f in batch.schema if f.name != "__q_text"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(score)], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score)], names=[*batch.schema.names[:-1], "score"])
 
     return run
 
 
 def score(docs: DataFrame, model: Model | None, settings: Settings = Settings(), keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """The columns keep of docs, and score: above 0 for the positive class.
+    """The columns keep of docs, and score: above 0 for the positive class; a kept column of that name is replaced.
 
     Texts are scored whole, in a map without a shuffle.  A null text, or one without words, gets the intercept; with no
-    model every score is 0; an empty table gives no rows; of other columns only those in keep are read.
+    model every score is 0; repeated rows are each scored; an empty table gives no rows; of other columns only those in keep are read.
     """
     ship()
+    held = [col(c) for c in keep if c.lower() != "score"]
     if model is None:
-        return docs.select(*(col(c) for c in keep if c != "score"), F.lit(0.0).alias("score"))
-    rows = docs.select(*(col(c) for c in keep if c != "score"), col(text_col).cast("string").alias("__q_text"))
-    kind = StructType([f for f in rows.schema.fields if f.name != "__q_text"]).add("score", DoubleType())
+        return docs.select(*held, F.lit(0.0).alias("score"))
+    rows = docs.select(*held, col(text_col).cast("string").alias(inner(docs)("text")))
+    kind = StructType(rows.schema.fields[:-1]).add("score", DoubleType())
     return rows.mapInArrow(_score(model, settings.bits), kind)
 
 
-def classify(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), threshold: float = 0.0, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns keep of docs, score and kept: whether the score is at threshold or above, or the text has no words to judge by."""
-    wordless = ~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[A-Za-z0-9\x{80}-\x{10FFFF}]")
-    made = score(docs.withColumn("__q_wordless", wordless), fit(docs, labels, settings), settings, (*keep, "__q_wordless"))
-    return made.withColumn("kept", (F.col("score") >= threshold) | F.col("__q_wordless")).drop("__q_wordless")
+def classify(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), threshold: float = 0.0, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    """The columns keep of docs, score and kept: whether the score is at threshold or above, or the text has no words to judge by.
+
+    Columns of keep that are named score or kept are replaced.  Null and empty texts, and those without a word, are
+    kept; where the labels don't have both classes all are kept at a score of 0; repeated rows are judged alike; a null id is kept
+    as it is; an empty table gives no rows; other columns are ignored, whatever their names.
+    """
+    wordless = inner(docs)("wordless")
+    none = ~F.coalesce(col(text_col).cast("string"), F.lit("")).rlike(r"[A-Za-z0-9\x{80}-\x{10FFFF}]")
+    held = tuple(c for c in keep if c.lower() != "kept")
+    made = score(docs.withColumn(wordless, none), fit(docs, labels, settings, text_col=text_col), settings, (*held, wordless), text_col)
+    return made.withColumn("kept", (F.col("score") >= threshold) | F.col(wordless)).drop(wordless)

@@ -24,8 +24,6 @@ for _c in range(256):
         _FOLD[_c] = _c + 33
 WORD = _FOLD > 0
 _GAP = np.where(WORD, 0, np.arange(256) + 1).astype(U64)
-UPPER = np.zeros(256, dtype=bool)
-UPPER[65:91] = True
 
 _powers: dict[int, np.ndarray] = {}
 
