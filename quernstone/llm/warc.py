@@ -61,19 +61,22 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     captured a million times is sorted on disk and never held; payloads are shuffled once
     more, by record_id, for resolved revisits alone.
 
-    A null or empty URL, a null ts or null record_id never matches; null headers are no headers; names of
+    record_id keeps its type, and is compared in its order.  A null or empty URL, a null ts or null
+    record_id never matches, and such records take no part in the window; null headers are no headers; names of
     headers are compared in lower case; responses with equal ids and repeated rows count
     once (that of the least payload); repeated revisits give repeated rows; an empty table
     gives no rows; other columns are ignored, whatever their names.
     """
-    rows = records.select(*(col(c) for c in COLUMNS)).withColumns({"record_id": F.col("record_id").cast("bigint"), "ts": F.col("ts").cast("bigint")})
+    rows = records.select(*(col(c) for c in COLUMNS)).withColumn("ts", F.col("ts").cast("bigint"))
     light = rows.select("record_id", canonical_url(F.col("url").cast("string")).alias("canonical"), "ts", (F.col("warc_type") == "response").alias("full"), _lowered(F.col("headers")).alias("h")).where("full IS NOT NULL")
     known = F.col("full") & F.col("ts").isNotNull() & F.col("record_id").isNotNull() & (F.col("canonical") != "")
     # Equal times must not count as earlier, so the frame is by value, up to one before.
     place = Window.partitionBy("canonical").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
     response = F.max(F.when(known, F.struct("ts", "record_id", F.col("h").getItem("etag").alias("etag"), F.col("h").getItem("last-modified").alias("modified"), F.col("h").getItem("warc-payload-digest").alias("digest"), F.array_sort(F.map_entries("h")).alias("h")))).over(place)
-    seen = light.withColumn("r", response).where("NOT full")
-    seen = seen.withColumn("r", F.when((F.col("canonical") != "") & F.col("ts").isNotNull(), F.col("r")))
+    # What can't match would all be in one window; it goes round it.
+    able = F.coalesce(F.col("canonical") != "", F.lit(False)) & F.col("ts").isNotNull()
+    placed = light.where(able).withColumn("r", response).where("NOT full")
+    seen = placed.unionByName(light.where(~able & ~F.col("full")).withColumn("r", F.lit(None).cast(placed.schema["r"].dataType)))
     strong = lambda e: F.regexp_replace(e, r"^[Ww]/", "")
     digest = _header(F.col("h"), "warc-payload-digest") == F.col("r.digest")
     etag = strong(_header(F.col("h"), "etag")) == strong(F.col("r.etag"))
