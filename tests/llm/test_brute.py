@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from quernstone.llm import ann, exact_dup, near_dup, nbsvm, packing
 from quernstone.llm.common import table
+from quernstone.llm.components import connected_components
 from quernstone.llm.queries import oracle_sql, queries
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -59,6 +60,38 @@ def test_near_duplicates_are_those_of_all_pairs(spark):
     assert {i for i, _ in sure} <= {i for i, _ in found}
 
 
+def test_chunks_of_a_component_lose_no_link(spark):
+    docs = table(spark, MIDDLE, "documents").select(F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 6, "0")).alias("doc_id"), "text")
+    whole = {tuple(r)[:2] for r in near_dup.near_duplicates(docs).collect()}
+    assert whole and whole == {tuple(r)[:2] for r in near_dup.near_duplicates(docs, features_per_task=300).collect()}
+
+
+def test_a_hot_text_and_a_long_chain(spark):
+    """100,000 copies of a text are one document to all that follows; a chain of texts is one group through its links alone."""
+    hot = "a text of some words that is on every page of a large site and never changes at all"
+    chain = [" ".join(f"w{j}" for j in range(i, i + 30)) for i in range(0, 200, 4)]
+    rows = spark.range(100_000).selectExpr("id AS doc_id", f"'{hot}' AS text").unionByName(spark.createDataFrame([(200_000 + i, t) for i, t in enumerate(chain)], "doc_id bigint, text string"))
+    got = {r.doc_id: r.keeper_id for r in near_dup.near_duplicates(rows, features_per_task=200).collect()}
+    assert all(got[i] == 0 for i in range(1, 100_000)) and 0 not in got
+    assert {got[200_000 + i] for i in range(1, len(chain))} == {200_000}
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_components_in_rounds_and_in_one_task(spark, kind):
+    random = np.random.default_rng(6)
+    ids = [f"n{i:03d}" if kind == "string" else i for i in range(120)]
+    edges = [(ids[a], ids[b]) for a, b in random.integers(0, 120, (90, 2))] + [(ids[0], None), (ids[5], ids[5])] + list(zip(ids[60:90], ids[61:91]))
+    head = {x: x for e in edges if None not in e for x in e}
+    for _ in head:
+        for a, b in edges:
+            if b is not None:
+                head[a] = head[b] = min(head[a], head[b])
+    df = spark.createDataFrame(edges, f"a {kind}, b {kind}")
+    for one_task in (0, 1 << 19):
+        labels, n = connected_components(df, one_task)
+        assert {r.id: r.component for r in labels.collect()} == head and n == len(head)
+
+
 def test_bag_minhash_is_unbiased():
     random = np.random.default_rng(5)
     features = random.integers(1, 1 << 44, 60).astype(np.uint64)
@@ -76,22 +109,47 @@ def test_trie_owners():
     trie = exact_dup.Patricia()
     for i, key in enumerate(keys):
         trie.insert(key, 1000 - i)
-    assert dict(trie.terminals()) == {k: min(1000 - i for i, x in enumerate(keys) if x == k) for k in keys}
+    assert {k: n.owner for k, n in trie.terminals()} == {k: min(1000 - i for i, x in enumerate(keys) if x == k) for k in keys}
+
+
+def test_spilling_gives_subtrees_out_and_frees_them():
+    random = np.random.default_rng(4)
+    trie, keys = exact_dup.Patricia(), {b"/common/" + bytes(random.integers(97, 101, 12).tolist()) for _ in range(500)}
+    for i, key in enumerate(sorted(keys)):
+        trie.insert(key, i)
+    was = trie.bytes
+    out = {k: n.owner for k, n in trie.spill(was // 2)}
+    left = {k: n.owner for k, n in trie.terminals()}
+    assert out and left and not set(out) & set(left)
+    assert out | left == {k: i for i, k in enumerate(sorted(keys))}
+    assert was // 8 < trie.bytes <= was // 2
+
+
+SPILLS = [{}, {"trie_bytes": 3000}, {"rows_per_key": 7}, {"trie_bytes": 2000, "rows_per_key": 7}, {"digest": lambda c: F.lit(7).cast("bigint")}, {"digest": lambda c: F.lit(7).cast("bigint"), "trie_bytes": 1500, "rows_per_key": 9}]
 
 
-def test_hot_groups_of_copies_are_divided(spark):
-    rows = [(i, "same") for i in range(100)] + [(200, "other"), (201, None)]
-    found = exact_dup.exact_owners(spark.createDataFrame(rows, "doc_id bigint, text string"), rows_per_trie=7).collect()
-    assert {(r.doc_id, r.owner_id) for r in found} == {(i, 0) for i in range(1, 100)}
+@pytest.mark.parametrize("settings", SPILLS, ids=range(len(SPILLS)))
+def test_owners_by_brute_force(spark, settings):
+    """Spills, hot keys and hashes that all collide, on string ids."""
+    random = np.random.default_rng(8)
+    texts = ["".join(random.choice(["a", "b"], random.integers(0, 8))) for _ in range(300)] + ["same"] * 100
+    rows = [(f"k{i:04d}", t) for i, t in enumerate(texts)] + [("x", None)]
+    first: dict = {}
+    for i, t in rows:
+        first.setdefault(t, i)
+    found = exact_dup.exact_owners(spark.createDataFrame(rows, "doc_id string, text string"), **settings).collect()
+    assert sorted(map(tuple, found)) == sorted((i, first[t]) for i, t in rows if first[t] != i)
 
 
-def plain_bins(sizes, limits):
-    """The dot-product heuristic item by item."""
+def plain_bins(sizes, limits, window):
+    """The dot-product heuristic item by item, over a window that is refilled."""
     demand = [[s / m for s, m in zip(row, limits)] for row in sizes]
-    mean = [sum(c) / len(c) for c in zip(*demand)]
-    placed, number, slot, left, open_ = {}, 0, 0, list(limits), set(range(len(sizes)))
+    coming = list(range(len(sizes)))
+    open_, coming = coming[:window], coming[window:]
+    mean = [sum(c) / len(c) for c in zip(*(demand[i] for i in open_))]
+    placed, number, slot, left = {}, 0, 0, list(limits)
     while open_:
-        fit = [i for i in sorted(open_) if all(s <= x for s, x in zip(sizes[i], left))]
+        fit = [i for i in open_ if all(s <= x for s, x in zip(sizes[i], left))]
         if not fit:
             number, slot, left = number + 1, 0, list(limits)
             continue
@@ -99,18 +157,52 @@ def plain_bins(sizes, limits):
         placed[best] = (number, slot)
         slot, left = slot + 1, [x - s for x, s in zip(left, sizes[best])]
         open_.remove(best)
+        if coming:
+            open_.append(coming.pop(0))
     return placed
 
 
-@pytest.mark.parametrize("seed", range(6))
-def test_bins_are_those_of_the_plain_heuristic(seed):
+@pytest.mark.parametrize("window", [1, 7, 40, 500])
+@pytest.mark.parametrize("seed", range(3))
+def test_bins_are_those_of_the_plain_heuristic(seed, window):
     random = np.random.default_rng(seed)
     n = 80
     tokens = random.integers(1, 400, n)
     sizes = np.stack([tokens, np.ones(n, np.int64), np.minimum(tokens, random.integers(0, 300, n))], axis=1)
     limits = np.array([1000, 5, 700])
-    bins, slots = packing.dot_product_bins(sizes, limits)
-    assert {i: (int(bins[i]), int(slots[i])) for i in range(n)} == plain_bins(sizes.tolist(), limits.tolist())
+    bins, got = packing.Bins(limits, window), {}
+    for row in sizes:
+        placed = bins.add(tuple(row))
+        if placed:
+            got[placed[0]] = placed[1:]
+    got |= {i: (b, slot) for i, b, slot in bins.finish()}
+    assert got == plain_bins(sizes.tolist(), limits.tolist(), window)
+
+
+def test_packing_by_brute_force(spark):
+    """The whole query in plain Python: pieces, groups, order and bins."""
+    examples = packing.conversation_examples(table(spark, MIDDLE, "conversations"))
+    groups = 3
+    key = F.xxhash64(F.lit(1), "id", "lengths")
+    rows = examples.withColumns({"key": key, "group": F.pmod(key, F.lit(groups))}).orderBy("group", "key", "id").collect()
+    wanted = set()
+    for g in range(groups):
+        pieces = []
+        for r in rows:
+            if r.group == g:
+                flat = [b for n, b in zip(r.lengths, r.bears) for _ in range(n)]
+                first, n, bear, k = 0, 0, 0, 0
+                for b in flat:
+                    if n == 300 or (b and bear == 200):
+                        pieces.append((r.id, k, first, n, bear))
+                        first, n, bear, k = first + n, 0, 0, k + 1
+                    n, bear = n + 1, bear + b
+                if n:
+                    pieces.append((r.id, k, first, n, bear))
+        placed = plain_bins([(p[3], 1, p[4]) for p in pieces], (300, 4, 200), 16)
+        wanted |= {(*pieces[i], (g << 32) + b, slot) for i, (b, slot) in placed.items()}
+    got = packing.pack(examples, 300, 4, 200, window=16, group_rows=-(-len(rows) // groups)).collect()
+    assert len(got) == len(wanted) and set(map(tuple, got)) == wanted
 
 
 def test_packing_holds_every_token_within_limits(spark):
@@ -143,6 +235,44 @@ def test_ratios_are_those_of_counts():
     assert np.allclose(nbsvm.log_count_ratios(counts, 1.0), np.log(shares[1] / shares[0]))
 
 
+def plain_indicators(text: str) -> set:
+    """Runs of one or two words and of one or two separators."""
+    words = [(m.group().lower() if m.group().isascii() else "".join(c.lower() if c.isascii() else c for c in m.group()), m.start(), m.end()) for m in re.finditer(r"[0-9A-Za-z\x80-\U0010ffff]+", text)]
+    gaps = [text[a[2] : b[1]] for a, b in zip(words, words[1:])] + ([text[words[-1][2] :]] if words else [])
+    names = [w for w, _, _ in words]
+    return {("w", w) for w in names} | {("ww", *p) for p in zip(names, names[1:])} | {("g", g) for g in gaps} | {("gg", *p) for p in zip(gaps, gaps[1:])}
+
+
+def test_classifier_by_brute_force(spark):
+    """Indicators, class counts, ratios, descent and scores in plain Python: the same scores for every document, but for features that share a hash."""
+    rows = [r for r in table(spark, SMALL, "documents").select("doc_id", "text").orderBy("doc_id").collect()]
+    labels = {r.doc_id: r.quality for r in table(spark, SMALL, "labels").collect()}
+    feats = {r.doc_id: plain_indicators(r.text or "") for r in rows}
+    names = sorted(set().union(*feats.values()))
+    number = {n: i for i, n in enumerate(names)}
+    counts = np.zeros((2, len(names)))
+    for i, q in labels.items():
+        counts[q, [number[f] for f in feats[i]]] += 1
+    # The features that no document has count in the smoothing of the hashed model too.
+    shares = counts + 1
+    shares = shares / (counts.sum(axis=1, keepdims=True) + (1 << 22))
+    ratio = np.log(shares[1] / shares[0])
+    taught = sorted(labels)
+    lists = [sorted(number[f] for f in feats[i]) for i in taught]
+    starts = np.append(0, np.cumsum([len(x) for x in lists]))
+    flat = np.concatenate([np.array(x, np.int64) for x in lists])
+    norm = {i: np.sqrt(sum(ratio[number[f]] ** 2 for f in feats[i])) or 1.0 for i in feats}
+    values = np.concatenate([ratio[np.array(x, np.int64)] / norm[i] for i, x in zip(taught, lists)])
+    settings = nbsvm.Settings(bits=22, epochs=200)
+    w = nbsvm.dual_coordinate_descent(starts, flat, values, np.where([labels[i] for i in taught], 1.0, -1.0), len(names), 1.0, 200, 1)
+    wanted = {i: sum(w[number[f]] * ratio[number[f]] for f in feats[i]) / norm[i] + w[-1] for i in feats}
+    got = {r.doc_id: r.score for r in nbsvm.classify(table(spark, SMALL, "documents"), table(spark, SMALL, "labels"), settings).collect()}
+    assert got.keys() == wanted.keys()
+    # One in forty features shares its hash at 22 bits.
+    assert max(abs(got[i] - wanted[i]) for i in wanted) < 0.05
+    assert sum((got[i] >= 0) == (wanted[i] >= 0) for i in wanted) >= 0.99 * len(wanted)
+
+
 def test_classifier_on_held_out_labels(spark):
     d = "/root/testdata/sf0.1"
     labels = table(spark, d, "labels")
@@ -165,6 +295,20 @@ def test_nearest_against_all_pairs(spark):
     assert got == wanted
 
 
+def test_asking_rows_meet_all(spark):
+    vectors = table(spark, SMALL, "embeddings")
+    every = {tuple(r) for r in ann.nearest_neighbours(vectors).collect()}
+    some = {tuple(r) for r in ann.nearest_neighbours(vectors, asking="vec_id % 100 = 0", block=2, strip=100).collect()}
+    assert some == {r for r in every if r[0] % 100 == 0} and some
+
+
+@pytest.mark.parametrize("dim", [1040, 1041, 3000])
+def test_products_are_exact_at_any_width(dim):
+    a = np.full((2, dim), 127, np.int8)
+    a[1, ::2] = -127
+    assert (ann.products(a, a).astype(np.int64) == a.astype(np.int64) @ a.astype(np.int64).T).all()
+
+
 def test_quantisation_errors_bound_products():
     random = np.random.default_rng(1)
     x = random.normal(size=(50, 16))
@@ -185,8 +329,8 @@ def test_pipeline_is_its_stages_by_brute_force(spark):
     two = corpus_pipeline.drop_lines(spark, one, SMALL).cache()
     pages: dict = {}
     for r in one.collect():
-        pages.setdefault(r.source, []).append([x.strip(" ") for x in r.text.split("\n")])
-    frequent = {s: {x for x, n in Counter(x for p in own for x in set(p) if x).items() if n >= 5 and n > 0.02 * len(own)} for s, own in pages.items()}
+        pages.setdefault(r.source, {})[r.text] = [x.strip(" ") for x in r.text.split("\n")]
+    frequent = {s: {x for x, n in Counter(x for p in own.values() for x in set(p) if x).items() if n > 1 and n - 1 > 0.05 * (len(own) - 1)} for s, own in pages.items()}
     wanted = {}
     for r in one.collect():
         lines = [x for x in r.text.split("\n") if x.strip(" ") not in frequent[r.source]]

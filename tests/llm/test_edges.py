@@ -3,7 +3,9 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from quernstone.llm import ann, chat, exact_dup, line_dedup, mixing, near_dup, nbsvm, packing, sharding, warc
 
 LONG = "word " * 60000
@@ -44,14 +46,76 @@ def test_near_duplicates(docs, none):
 
 
 def test_line_dedup(spark, docs, none):
-    done = line_dedup.drop_boilerplate(docs, min_pages=2, ratio=0.4)
+    done = line_dedup.drop_boilerplate(docs, ratio=0.4)
     assert done.count() == len(ROWS)
-    assert {r.doc_id: r.text for r in done.collect() if r.doc_id in (1, 2, 3)} == {1: "", 2: "", 3: None}
-    assert next(r.text for r in done.collect() if r.doc_id == 6) == LONG
+    # Equal texts of a host are one page, so copies lose nothing for being copies.
+    assert {r.doc_id: r.text for r in done.collect()} == {r[0]: r[1] for r in ROWS}
     assert set(done.columns) == set(docs.columns) | {"n_dropped"}
     assert line_dedup.drop_boilerplate(none).collect() == []
 
 
+def test_the_ratio_alone_decides(spark):
+    kind = "doc_id bigint, text string, source string, n_dropped string"
+    rows = [(i, f"HEADER\nown line {i}", "small", "x") for i in range(4)] + [(10, "HEADER\nalone", "one", "x"), (11, "HEADER\nA", "two", "x"), (12, " HEADER \nB", "two", "x")]
+    got = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup.drop_boilerplate(spark.createDataFrame(rows, kind)).collect()}
+    assert got == {i: (f"own line {i}", 1) for i in range(4)} | {10: ("HEADER\nalone", 0), 11: ("A", 1), 12: ("B", 1)}
+    half = [(i, "LINE\n" * (i < 4) + f"p{i}", "s", "x") for i in range(10)]
+    dropped = lambda ratio: sum(r.n_dropped for r in line_dedup.drop_boilerplate(spark.createDataFrame(half, kind), ratio=ratio).collect())
+    assert dropped(0.33) == 4 and dropped(0.34) == 0
+
+
+CLASH = "__q_key __q_lines __q_host __q_kept __q_source __q_size __q_text __Q_row position shard epoch take start n_tokens n_dropped score kept".split()
+
+
+def test_columns_of_any_name(spark, docs):
+    """Names that the operators use themselves: kept as they are, but for those that an operator states it replaces."""
+    odd = docs.select("doc_id", "text", "lang", "source", "n_chars").withColumns({c: F.lit(c) for c in CLASH})
+
+    def held(df, *replaced):
+        assert set(df.columns) >= set(CLASH)
+        rest = [c for c in CLASH if c not in replaced]
+        assert {tuple(r) for r in df.select(*rest).collect()} == {tuple(rest)}
+
+    held(line_dedup.drop_boilerplate(odd, ratio=0.1), "n_dropped")
+    held(mixing.mix_to_budgets(odd, 0.5), "n_tokens", "epoch", "start", "take")
+    held(sharding.stratified_shards(odd, 3), "position", "shard")
+    labels = spark.createDataFrame([(1, 1), (6, 0)], "doc_id bigint, quality int")
+    held(nbsvm.classify(odd, labels, keep=("doc_id", *CLASH)), "score", "kept")
+    assert packing.pack(packing.document_examples(odd).withColumns({"group": F.lit(1), "key": F.lit("k"), "bin": F.lit(2)})).count() > 0
+    assert {tuple(r) for r in exact_dup.exact_owners(odd.withColumns({c: F.lit(1) for c in ("n", "h", "trie", "salt", "owner")})).collect()} == {(2, 1), (5, 4)}
+    assert [r.doc_id for r in near_dup.near_duplicates(odd.withColumns({c: F.lit(1) for c in ("size", "f1", "keys", "task", "component")})).collect()] == [2]
+
+
+def test_ids_of_any_type(spark, docs):
+    """Ids that are strings: the same results by another name."""
+    named = docs.withColumn("doc_id", F.concat(F.lit("urn:x:"), F.col("doc_id").cast("string")))
+    assert sorted(map(tuple, exact_dup.exact_owners(named).collect())) == [("urn:x:2", "urn:x:1"), ("urn:x:5", "urn:x:4")]
+    assert [tuple(r)[:2] for r in near_dup.near_duplicates(named).collect()] == [("urn:x:2", "urn:x:1")]
+    assert {r.id for r in packing.pack(packing.document_examples(named)).collect()} == {None, *(f"urn:x:{i}" for i in (1, 2, 6, 8))}
+    assert sharding.stratified_shards(named, 3).count() == len(ROWS)
+    # The source of the two empty texts has no tokens.
+    assert mixing.mix_to_budgets(named, 1.0).count() == len(ROWS) - 2
+    labels = spark.createDataFrame([("urn:x:1", 1), ("urn:x:6", 0)], "doc_id string, quality int")
+    assert {r.doc_id: r.kept for r in nbsvm.classify(named, labels).collect()}["urn:x:6"] is False
+
+
+def test_pipeline_stages_with_clashing_columns(spark, docs, tmp_path):
+    spark.createDataFrame([(1, 1, 0), (6, 0, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    odd = docs.select("doc_id", "text", "lang", "source", "n_chars").withColumns({c: F.lit(c) for c in CLASH})
+    for name, stage in corpus_pipeline.STAGES:
+        done = stage(spark, odd, str(tmp_path))
+        done.collect()
+        assert name == "packing" or done.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_near_dedup_of_repeated_rows(spark, docs):
+    """Rows that repeat an id are one document."""
+    left = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert sorted((r.doc_id or 0) for r in left.collect()) == [0, 1, 3, 4, 5, 6, 7, 8]
+    again = docs.unionByName(docs.where("doc_id = 1"))
+    assert sum(r.doc_id == 1 for r in corpus_pipeline.drop_near_copies(spark, again, "").collect()) == 2
+
+
 def test_mixing(docs, none):
     rows = mixing.mix_to_budgets(docs.withColumnRenamed("score", "start"), 0.5).collect()
     by = Counter()
@@ -124,6 +188,44 @@ def test_chat(spark):
     assert got[3].rejected == "" and got[3].chosen_loss == f"14-{14 + 300000 + 7}"
 
 
+def test_chat_of_ids_with_gaps(spark):
+    """The partner is the next conversation there is, whatever the ranges and the type of ids."""
+    rows = [(i * 7 if i < 50 else i * 1000, t, None if t % 3 else "assistant", f"text {i} {t}") for i in range(100) for t in range(i % 5 + 1)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    plain: dict = {}
+    for c, t, role, text in rows:
+        plain.setdefault(c, []).append((t, role or "user", text))
+    ids = sorted(plain)
+    wanted = {a: (plain[a], plain[a][: -(-len(plain[a]) // 2)] + plain[b][-(-len(plain[a]) // 2) :]) for a, b in zip(ids, ids[1:])}
+    named = df.withColumn("conv_id", F.concat(F.lit("c\"'"), F.lpad(F.col("conv_id").cast("string"), 9, "0")))
+    for per_range in (1, 3, 256):
+        got = {r.pair_id: ([tuple(x) for x in r.chosen], [tuple(x) for x in r.rejected]) for r in chat.spliced_pairs(df, per_range).collect()}
+        assert got == wanted
+        by_name = [[tuple(x) for x in r.rejected] for r in chat.spliced_pairs(named, per_range).orderBy("pair_id").collect()]
+        assert by_name == [wanted[i][1] for i in ids[:-1]]
+
+
+def test_chat_with_a_null_turn_and_one_before_all(spark):
+    rows = [(1, None, "user", "null"), (1, -1, "user", "minus"), (1, -(1 << 63) + 1, "user", "least")]
+    turns = chat.turn_rows(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).orderBy("turn").collect()
+    assert [r.text for r in turns] == ["null", "least", "minus"]
+
+
+def test_revisits_of_named_records(spark):
+    """Ids as crawlers write them, and URLs that are null or empty."""
+    kind = "record_id string, url string, ts bigint, warc_type string, headers map<string,string>, payload string"
+    rows = [
+        ("<urn:uuid:a>", "http://a.com/", 10, "response", {"ETag": "1"}, "A"),
+        ("<urn:uuid:b>", "http://a.com/", 10, "response", {"ETag": "1"}, "B"),
+        ("<urn:uuid:c>", "http://a.com/", 20, "revisit", {"etag": "1"}, None),
+        ("<urn:uuid:d>", None, 20, "revisit", {"etag": "1"}, None),
+        ("<urn:uuid:e>", "  ", 20, "revisit", {"etag": "1"}, None),
+        ("<urn:uuid:f>", None, 10, "response", {"ETag": "1"}, "F"),
+    ]
+    got = {r.record_id[10]: (r.outcome, r.response_id, r.payload) for r in warc.resolve_revisits(spark.createDataFrame(rows, kind)).collect()}
+    assert got == {"c": ("resolved", "<urn:uuid:b>", "B"), "d": ("no_response", None, None), "e": ("no_response", None, None)}
+
+
 def test_revisits(spark):
     kind = "record_id bigint, url string, ts bigint, warc_type string, headers map<string,string>, payload string, h string, canonical string"
     more = (None, "clash")
