@@ -6,8 +6,8 @@ import pytest
 from quernstone.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents pages conversations".split()
-NAMES = "p2_exact p5_contains p6_membership s3_hash_skip s8_notes_in_order m7_kv_upsert m8_kv_delete m12_slice_changes b5_word_scores d1_compare_nodes r4_budget t2_debounce t7_coalesce".split()
+TABLES = "region nation customer supplier part orders lineitem events documents pages labels conversations".split()
+NAMES = "p2_exact p5_contains p6_membership s3_hash_skip s8_notes_in_order m7_kv_upsert m8_kv_delete m12_slice_changes b5_word_scores d1_compare_nodes r4_budget t2_debounce t7_coalesce b12_incremental b7_boosted_search m1_node_upsert m2_edge_log".split()
 
 
 @pytest.fixture(scope="module")
