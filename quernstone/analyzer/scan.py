@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import side_effect
+from ..operators.lineage import cut
 from ..operators.model import Graph
 from ..operators.store import to_scan, upsert_edges
 from ..session import ship
@@ -113,12 +114,24 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
 
+def ranks(files: DataFrame) -> DataFrame:
+    """(path, rank) of the distinct paths: rank grows with path, and rank + n keeps apart and in order the n < 2**20 of each.
+
+    The range a path is sorted into is 16 bits of its rank and its place there 27, so nothing is counted or collected; it is
+    a checkpoint, as other bounds of ranges would give other ranks.
+    """
+    place = F.monotonically_increasing_id()
+    apart = F.shiftleft(F.shiftright(place, 33), 47) + F.shiftleft(place.bitwiseAND(F.lit((1 << 33) - 1)), 20)
+    return cut(files.select("path").distinct().orderBy("path").select("path", apart.alias("rank")))
+
+
 def scan(files: DataFrame, listing: DataFrame | None = None, hashes: DataFrame | None = None, force: bool = False) -> dict[str, DataFrame]:
     """{graph, errors, states} of files (path, size, content): what the parsed files say, those with errors, and every file's state.
 
     Files are parsed in Python, one at a time, in a map; imports without an extension are
     resolved by a join with the listing (paths; by default that of files); side effects are
-    told by built-in functions.
+    told by built-in functions.  seq follows the order of paths, and within a file that of
+    its text.
     """
     ship()
     spark = files.sparkSession
@@ -126,18 +139,17 @@ def scan(files: DataFrame, listing: DataFrame | None = None, hashes: DataFrame |
         hashes = spark.createDataFrame([], "path string, hash bigint")
     states = to_scan(files, hashes, force)
     found = states.where("state = 'parse'").select("path", "content").mapInArrow(_run, FACTS)
-    order = F.struct("path", "ord")
-    nodes = found.where("kind = 'node'").groupBy("id").agg(F.max_by(F.struct("type", "name", "metadata"), order).alias("n"), F.min(order).alias("at"))
-    nodes = nodes.select(F.xxhash64("id").alias("seq"), "id", "n.type", "n.name", F.lit(0.0).alias("boost"), "n.metadata")
-    plain = found.where("kind = 'edge' AND candidates IS NULL").select("path", "ord", "src", "dst", "relationship", "metadata")
-    open_ = found.where("kind = 'edge' AND candidates IS NOT NULL").select("path", "ord", "src", F.col("id").alias("symbol"), "relationship", "metadata", F.size("candidates").alias("n"), F.posexplode("candidates").alias("rank", "file"))
+    found = found.join(ranks(files), "path", "left").withColumn("seq", F.col("rank") + F.col("ord")).drop("rank")
+    nodes = found.where("kind = 'node'").groupBy("id").agg(F.max_by(F.struct("type", "name", "metadata"), "seq").alias("n"), F.min("seq").alias("seq"))
+    nodes = nodes.select("seq", "id", "n.type", "n.name", F.lit(0.0).alias("boost"), "n.metadata")
+    plain = found.where("kind = 'edge' AND candidates IS NULL").select("seq", "src", "dst", "relationship", "metadata")
+    open_ = found.where("kind = 'edge' AND candidates IS NOT NULL").select("seq", "src", F.col("id").alias("symbol"), "relationship", "metadata", F.size("candidates").alias("n"), F.posexplode("candidates").alias("rank", "file"))
     there = (files if listing is None else listing).select(F.col("path").alias("file"), F.lit(True).alias("there"))
     # A path with an extension is taken as it stands.
-    resolved = open_.join(there, "file", "left").where("there OR n = 1").groupBy("path", "ord", "src", "relationship", "metadata", "symbol").agg(F.min_by("file", "rank").alias("file"))
-    resolved = resolved.select("path", "ord", "src", F.concat("file", F.when(F.col("symbol").isNotNull(), F.concat(F.lit(":"), "symbol")).otherwise("")).alias("dst"), "relationship", "metadata")
+    resolved = open_.join(there, "file", "left").where("there OR n = 1").groupBy("seq", "src", "relationship", "metadata", "symbol").agg(F.min_by("file", "rank").alias("file"))
+    resolved = resolved.select("seq", "src", F.concat("file", F.when(F.col("symbol").isNotNull(), F.concat(F.lit(":"), "symbol")).otherwise("")).alias("dst"), "relationship", "metadata")
     label = side_effect(F.col("chain"))
-    effects = found.where("kind = 'effect'").withColumn("label", label).where("label IS NOT NULL").select("path", "ord", "src", F.concat(F.lit("effect:"), "label").alias("dst"), "relationship", F.to_json(F.struct(F.col("label").alias("type"), F.col("chain").alias("apiCall"))).alias("metadata"))
-    edges = upsert_edges(plain.unionByName(resolved).unionByName(effects).withColumn("seq", F.struct("path", "ord")))
-    edges = edges.withColumn("seq", F.xxhash64("src", "dst", "relationship"))
+    effects = found.where("kind = 'effect'").withColumn("label", label).where("label IS NOT NULL").select("seq", "src", F.concat(F.lit("effect:"), "label").alias("dst"), "relationship", F.to_json(F.struct(F.col("label").alias("type"), F.col("chain").alias("apiCall"))).alias("metadata"))
+    edges = upsert_edges(plain.unionByName(resolved).unionByName(effects))
     errors = found.where("kind = 'error'").select("path", F.col("name").alias("message"))
     return {"graph": Graph(nodes, edges), "errors": errors, "states": states}

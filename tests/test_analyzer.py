@@ -82,6 +82,16 @@ def test_scan(spark):
     assert {r.path: r.state for r in again["states"].collect()} == {"main.ts": "unchanged", "lib/check/index.js": "unchanged", "types.ts": "parse"}
 
 
+def test_seq_follows_paths_and_text(spark):
+    files = {f"f{n:02}.js": "function b() { a(); }\nfunction a() {}\nclass Z {}\n" for n in reversed(range(30))}
+    graph = scan(source_frame(spark, files).repartition(5))["graph"]
+    ids = [r.id for r in graph.nodes.orderBy("seq").collect()]
+    assert ids == [f"{path}{symbol}" for path in sorted(files) for symbol in ("", ":b", ":a", ":Z")]
+    edges = graph.edges.orderBy("seq").collect()
+    assert len({r.seq for r in edges}) == len(edges) and [r.src.split(":")[0] for r in edges] == sorted(r.src.split(":")[0] for r in edges)
+    assert scan(source_frame(spark, {}))["graph"].nodes.count() == 0
+
+
 def test_context_of_a_symbol(spark):
     files = source_frame(spark, FILES)
     done = context.build(scan(files)["graph"], files, "load")
