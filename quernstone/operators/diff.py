@@ -21,11 +21,17 @@ def compare_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def compare_edges(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(edge, change): added or removed, by ends and relationship alone."""
+    """(edge, change): added or removed, by ends and relationship alone; as many rows as there are of the edge.
+
+    Both states are counted in one aggregate, so each is shuffled once.  A null in a key equals nothing.
+    """
     key = ["src", "dst", "relationship"]
-    added = new.select(*key).join(old, key, "left_anti").withColumn("change", F.lit("added"))
-    removed = old.select(*key).join(new, key, "left_anti").withColumn("change", F.lit("removed"))
-    return added.unionByName(removed).select(edge_text().alias("edge"), "change")
+    both = old.select(*key, F.lit(True).alias("was")).unionByName(new.select(*key, F.lit(False).alias("was")))
+    counted = both.groupBy(*key).agg(F.count_if("was").cast("int").alias("o"), F.count_if(~F.col("was")).cast("int").alias("n"))
+    unlike = F.col("src").isNull() | F.col("dst").isNull() | F.col("relationship").isNull()
+    left = counted.where(unlike | (F.col("o") == 0) | (F.col("n") == 0))
+    rows = F.explode(F.concat(F.array_repeat(F.lit("removed"), F.col("o")), F.array_repeat(F.lit("added"), F.col("n"))))
+    return left.select(edge_text().alias("edge"), rows.alias("change"))
 
 
 def compare(old: Graph | None, new: Graph) -> dict[str, DataFrame]:
